@@ -98,10 +98,11 @@ class Index:
             self.n_blocks_of[cells[part]] = m
             block += m
         self.n_blocks = block
+        self.first, self.blocks, self.held = self.first_block.tolist(), self.n_blocks_of.tolist(), self.counts.tolist()
 
     def traverse(self, d1: np.ndarray, d2: np.ndarray, o1: np.ndarray, o2: np.ndarray, want: int) -> list[int]:
         """Non-empty cells by rising summed distance until they hold `want` vectors. o1, o2: centroids by rising distance."""
-        counts, k = self.counts, self.k
+        counts, k = self.held, self.k
         heap, seen, got, out = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, 0, []
         n1, n2 = len(o1), len(o2)
         while heap and got < want:
@@ -139,14 +140,6 @@ def _listed(rows: list[tuple[float, str, str | None]], k: int) -> list[tuple[flo
     return out
 
 
-def _needed(rows: list, sources: list, k: int) -> list:
-    """The part of a list that members of these sources use."""
-    use = set()
-    for s in sources:
-        use.update([i for i, r in enumerate(rows) if s is None or r[2] != s][: k + (s is None)])
-    return [rows[i] for i in sorted(use)]
-
-
 class Block:
     """Entries of one block, sorted by cell."""
 
@@ -206,15 +199,22 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
     """id, neighbour, similarity, rank (from 1): the k best rows of other sources for every usable row."""
     spark = df.sparkSession
     rows = usable(df, dims)
-    ids = rows.select("v1", "v2", "id", "source").distinct()
-    by_source = W.partitionBy("v1", "v2", "source").orderBy("id")
-    by_vector = W.partitionBy("v1", "v2").orderBy("id")
-    # a null source equals no other, so its rows aren't limited by source
-    few = ids.withColumn("n", F.row_number().over(by_source)).where((F.col("n") <= k) | F.col("source").isNull())
-    ranked = few.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= 2 * k)
-    kept = ranked.groupBy("v1", "v2").agg(F.sort_array(F.collect_list(F.struct("id", "source"))).alias("members"))
-    vectors = rows.select("v1", "v2", "vec").dropDuplicates(["v1", "v2"])
-    entries = materialize(vectors.join(kept, ["v1", "v2"]), "knn-entries")
+    # vectors of more rows than a list may hold; they are few, or each stands for many rows
+    hot_keys = materialize(rows.groupBy("v1", "v2").agg(F.count("*").alias("n")).where(F.col("n") > 2 * k).select("v1", "v2"), "knn-hot")
+    any_hot = not hot_keys.isEmpty()
+    cold = rows.join(hot_keys, ["v1", "v2"], "left_anti") if any_hot else rows
+    entries = cold.groupBy("v1", "v2").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_set(F.struct("id", "source"))).alias("members"))
+    if any_hot:
+        hot_ids = rows.join(hot_keys, ["v1", "v2"]).select("v1", "v2", "id", "source").distinct()
+        by_source = W.partitionBy("v1", "v2", "source").orderBy("id")
+        by_vector = W.partitionBy("v1", "v2").orderBy("id")
+        # a null source equals no other, so its rows aren't limited by source
+        few = hot_ids.withColumn("n", F.row_number().over(by_source)).where((F.col("n") <= k) | F.col("source").isNull())
+        ranked = few.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= 2 * k)
+        kept = ranked.groupBy("v1", "v2").agg(F.sort_array(F.collect_list(F.struct("id", "source"))).alias("members"))
+        vectors = rows.select("v1", "v2", "vec").join(hot_keys, ["v1", "v2"]).dropDuplicates(["v1", "v2"])
+        entries = entries.unionByName(vectors.join(kept, ["v1", "v2"]))
+    entries = materialize(entries, "knn-entries")
     n = entries.count()
     if not n:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, rank int")
@@ -231,9 +231,9 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
             if len(f):
                 d1, d2 = ix.distances(_unit(f["vec"]).astype(np.float32))
                 a, b = d1.argmin(1), d2.argmin(1)
-                yield pd.DataFrame({"v1": f["v1"], "cell": a * ix.k + b, "e1": np.sqrt(d1.min(1)), "e2": np.sqrt(d2.min(1)), "v2": f["v2"]})
+                yield pd.DataFrame({"cell": a * ix.k + b, "e1": np.sqrt(d1.min(1)), "e2": np.sqrt(d2.min(1))})
 
-    celled = materialize(entries.select("v1", "v2", "vec").mapInPandas(assign, "v1 long, cell long, e1 double, e2 double, v2 long"), "knn-cells")
+    celled = entries.select("vec").mapInPandas(assign, "cell long, e1 double, e2 double")
     # at most MOST_CENTROIDS ** 2 cells
     stats = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("e1").alias("e1"), F.max("e2").alias("e2")).collect()
     r1, r2 = np.zeros(len(index.c1)), np.zeros(len(index.c2))
@@ -259,37 +259,46 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
     def at_home(f: pd.DataFrame) -> pd.DataFrame:
         ix, block = full.value, Block(f)
         here, out = int(f["block"].iloc[0]), []
+        v1, v2, vec = (block.f[c].tolist() for c in ("v1", "v2", "vec"))
         for a, b in block.span.values():
             for at in range(a, b, 2048):
                 end = min(at + 2048, b)
                 unit = block.unit[at:end]
                 d1, d2 = ix.distances(unit.astype(np.float32))
                 o1, o2 = np.argsort(d1, axis=1), np.argsort(d2, axis=1)
-                ways = [ix.traverse(x, y, p, q, candidates) for x, y, p, q in zip(d1, d2, o1.tolist(), o2.tolist(), strict=True)]
+                # squared distance from the vector to the nearest that a cell of this centroid can hold
+                low1, low2 = (np.maximum(np.sqrt(d) - r, 0) ** 2 for d, r in ((d1, ix.r1), (d2, ix.r2)))
+                ways = [ix.traverse(x, y, p, q, candidates) for x, y, p, q in zip(d1.tolist(), d2.tolist(), o1.tolist(), o2.tolist(), strict=True)]
                 rows_ = block.rows_of(sorted({c for w in ways for c in w}))
-                for q, (way, got) in enumerate(zip(ways, block.search(unit, rows_, k), strict=True)):
-                    r = at + q
-                    reach = np.sqrt(max(2 + 2 * got[-1][0], 0)) + 1e-4 if len(got) == 2 * k else np.inf
+                for r, way, got, n1, n2 in zip(range(at, end), ways, block.search(unit, rows_, k), low1.tolist(), low2.tolist(), strict=True):
+                    reach = max(2 + 2 * got[-1][0], 0) + 1e-4 if len(got) == 2 * k else np.inf
                     asked: dict[int, list[int]] = {}
                     for c in way:
-                        i, j = divmod(c, ix.k)
-                        low = np.hypot(max(np.sqrt(d1[q, i]) - ix.r1[i], 0), max(np.sqrt(d2[q, j]) - ix.r2[j], 0))
-                        for o in range(ix.first_block[c], ix.first_block[c] + ix.n_blocks_of[c]) if low <= reach else ():
-                            if o != here:
-                                asked.setdefault(int(o), []).append(c)
+                        if n1[c // ix.k] + n2[c % ix.k] <= reach:
+                            first = ix.first[c]
+                            for o in range(first, first + ix.blocks[c]):
+                                if o != here:
+                                    asked.setdefault(o, []).append(c)
                     m = block.members[r]
                     hot = len(m) == 2 * k
-                    keep = got if asked or hot else _needed(got, [s for _, s in m], k)
-                    out.append((block.f["v1"].iat[r], block.f["v2"].iat[r], block.f["members"].iat[r], _near(keep), [{"block": o, "cells": c} for o, c in asked.items()], block.f["vec"].iat[r] if asked else None))
-        return pd.DataFrame(out, columns=["v1", "v2", "members", "near", "asked", "vec"])
-
-    home_type = f"v1 long, v2 long, members array<struct<id: string, source: string>>, {NEAR}, asked array<struct<block: int, cells: array<long>>>, vec array<float>"
+                    if asked or hot:
+                        out.append((v1[r], v2[r], None, None, [{"id": i, "source": x} for i, x in m], _near(got), [{"block": o, "cells": c} for o, c in asked.items()], vec[r] if asked else None))
+                    else:
+                        for i, x in m:
+                            best = [g for g in got if g[1] != i and (x is None or g[2] != x)][:k]
+                            out.append((None, None, i, [{"id": g[1], "sim": -g[0]} for g in best], None, None, None, None))
+        return pd.DataFrame(out, columns=["v1", "v2", "id", "best", "members", "near", "asked", "vec"])
+
+    home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, members array<struct<id: string, source: string>>, {NEAR}, asked array<struct<block: int, cells: array<long>>>, vec array<float>"
     home = materialize(blocked.groupBy("block").applyInPandas(at_home, home_type), "knn-home")
+    settled = home.where(F.col("id").isNotNull()).select("id", "best")
+    open_ = home.where(F.col("id").isNull())
 
-    asked = home.where(F.size("asked") > 0).select("v1", "v2", "vec", F.explode("asked").alias("a")).select("a.block", "a.cells", "v1", "v2", "vec")
-    parts = asked.groupBy("block").agg(F.ceil(F.count("*") / REQUEST_ROWS).cast("int").alias("parts"))
+    asked = open_.where(F.size("asked") > 0).select("v1", "v2", "vec", F.explode("asked").alias("a")).select("a.block", "a.cells", "v1", "v2", "vec")
+    parts = materialize(asked.groupBy("block").agg(F.ceil(F.count("*") / REQUEST_ROWS).cast("int").alias("parts")), "knn-parts")
+    wanted = asked.select("block", F.explode("cells").alias("cell")).distinct()
     requests = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("v1"), F.col("parts")).cast("int")).drop("parts")
-    copies = blocked.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    copies = blocked.join(wanted, ["block", "cell"], "left_semi").join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def away(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(e) or not len(q):
@@ -302,18 +311,18 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
         return pd.DataFrame(out, columns=["v1", "v2", "near"])
 
     found = copies.groupBy("block", "part").cogroup(requests.groupBy("block", "part")).applyInPandas(away, f"v1 long, v2 long, {NEAR}")
-    merged = home.where(F.size("asked") > 0).select("v1", "v2", "near").unionByName(found).groupBy("v1", "v2").agg(F.flatten(F.collect_list("near")).alias("more"))
-    best = home.select("v1", "v2", "members", "near").join(merged, ["v1", "v2"], "left").select("v1", "v2", "members", F.coalesce("more", "near").alias("near"))
-    best = best.withColumn("near", F.array_sort(F.transform("near", lambda x: F.struct((-x["sim"]).alias("d"), x["id"].alias("id"), x["source"].alias("source")))))
-    own = best.select(F.explode("members").alias("m"), "near").select("m.id", "m.source", "near")
-    # ids of equal vectors beyond those listed; a vector may have very many, so its list is salted
-    rest = ids.join(ranked.select("id"), "id", "left_anti")
-    if not rest.isEmpty():
-        hot = best.where(F.size("members") == 2 * k).select("v1", "v2", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        more = rest.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(hot, ["v1", "v2", "salt"])
-        own = own.unionByName(more.select("id", "source", "near"))
+    both = open_.select("v1", "v2", "members", "near").unionByName(found, allowMissingColumns=True)
+    merged = both.groupBy("v1", "v2").agg(F.first("members", ignorenulls=True).alias("members"), F.flatten(F.collect_list("near")).alias("near"))
+    merged = merged.withColumn("near", F.array_sort(F.transform("near", lambda x: F.struct((-x["sim"]).alias("d"), x["id"].alias("id"), x["source"].alias("source")))))
+    own = merged.select(F.explode("members").alias("m"), "near").select("m.id", "m.source", "near")
+    if any_hot:
+        # ids of equal vectors beyond those listed; a vector may have very many, so its list is salted
+        hot = merged.where(F.size("members") == 2 * k).select("v1", "v2", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        rest = hot_ids.join(ranked.select("id"), "id", "left_anti").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        own = own.unionByName(rest.join(hot, ["v1", "v2", "salt"]).select("id", "source", "near"))
     others = own.select("id", F.slice(F.filter("near", lambda x: (x["id"] != F.col("id")) & ~F.coalesce(x["source"] == F.col("source"), F.lit(False))), 1, k).alias("near"))
-    return others.select("id", F.posexplode("near").alias("pos", "x")).select("id", F.col("x.id").alias("neighbour"), (-F.col("x.d")).alias("similarity"), (F.col("pos") + 1).alias("rank"))
+    late = others.select("id", F.transform("near", lambda x: F.struct(x["id"].alias("id"), (-x["d"]).alias("sim"))).alias("best"))
+    return settled.unionByName(late).select("id", F.posexplode("best").alias("pos", "x")).select("id", F.col("x.id").alias("neighbour"), F.col("x.sim").alias("similarity"), (F.col("pos") + 1).alias("rank"))
 
 
 def pairs(near: DataFrame) -> DataFrame:
