@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import encode, knn, neardup, pack, split
+from lorespan.llm import encode, garble, knn, neardup, pack, split
 from lorespan.sources.tables import table
 
 NEAR_DUPLICATE = {"threshold": 0.7, "least_chars": 300, "most_chars": 3000}
 
 
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = garble.fields({t: table(spark, sf_dir, t) for t in ("paragraph", "document", "document_import")})
+    return garble.restore(rows, garble.fit(garble.sample(rows)))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_restored(spark, sf_dir).select("item_table", "item_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.all_pairs(*neardup.near_duplicates(table(spark, sf_dir, "paragraph"), "id", "content", **NEAR_DUPLICATE))
 
@@ -56,6 +65,8 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_restored": p1_restored,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p5_found": p5_found,
