@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import encode, garble, knn, neardup, pack, split
+from lorespan.llm import encode, garble, knn, language, neardup, pack, split
 from lorespan.sources.tables import table
 
 NEAR_DUPLICATE = {"threshold": 0.7, "least_chars": 300, "most_chars": 3000}
@@ -63,6 +63,24 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("container_name", "container_id", F.col("item_id").alias("doc_id"), "part_no", F.col("start").alias("first_token"), "n_tokens")
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
+    docs, codes = table(spark, sf_dir, "documents"), language.codes_of(table(spark, sf_dir, "language_code"))
+    return language.judge(docs, language.fit_on(docs, codes)), codes
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(*_judged(spark, sf_dir))
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir)[0].select("doc_id", "lang", "language", F.round("confidence", 6).alias("confidence"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = _judged(spark, sf_dir)[0].where(F.size("languages") > 1)
+    return mixed.select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), F.col("s.language").alias("language"), F.round("s.confidence", 6).alias("confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -74,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_pieces": p6_pieces,
         "p7_ids": p7_ids,
         "p8_packed": p8_packed,
+        "p9_found": p9_found,
+        "p9_languages": p9_languages,
+        "p9_segments": p9_segments,
     }
 
 
