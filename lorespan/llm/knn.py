@@ -271,7 +271,14 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                 ways = [ix.traverse(x, y, p, q, candidates) for x, y, p, q in zip(d1.tolist(), d2.tolist(), o1.tolist(), o2.tolist(), strict=True)]
                 rows_ = block.rows_of(sorted({c for w in ways for c in w}))
                 for r, way, got, n1, n2 in zip(range(at, end), ways, block.search(unit, rows_, k), low1.tolist(), low2.tolist(), strict=True):
-                    reach = max(2 + 2 * got[-1][0], 0) + 1e-4 if len(got) == 2 * k else np.inf
+                    m = block.members[r]
+                    hot = len(m) == 2 * k
+                    best = [[g for g in got if g[1] != i and (x is None or g[2] != x)][:k] for i, x in m]
+                    # the least similarity that can still enter a list; ids of hot vectors may have any source
+                    least = min((-b[-1][0] if len(b) == k else -np.inf for b in best), default=-np.inf)
+                    if hot:
+                        least = -got[-1][0] if len(got) == 2 * k else -np.inf
+                    reach = max(2 - 2 * least, 0) + 1e-4
                     asked: dict[int, list[int]] = {}
                     for c in way:
                         if n1[c // ix.k] + n2[c % ix.k] <= reach:
@@ -279,22 +286,19 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                             for o in range(first, first + ix.blocks[c]):
                                 if o != here:
                                     asked.setdefault(o, []).append(c)
-                    m = block.members[r]
-                    hot = len(m) == 2 * k
                     if asked or hot:
-                        out.append((v1[r], v2[r], None, None, [{"id": i, "source": x} for i, x in m], _near(got), [{"block": o, "cells": c} for o, c in asked.items()], vec[r] if asked else None))
+                        out.append((v1[r], v2[r], None, None, float(least), [{"id": i, "source": x} for i, x in m], _near(got), [{"block": o, "cells": c} for o, c in asked.items()], vec[r] if asked else None))
                     else:
-                        for i, x in m:
-                            best = [g for g in got if g[1] != i and (x is None or g[2] != x)][:k]
-                            out.append((None, None, i, [{"id": g[1], "sim": -g[0]} for g in best], None, None, None, None))
-        return pd.DataFrame(out, columns=["v1", "v2", "id", "best", "members", "near", "asked", "vec"])
+                        for (i, _), b in zip(m, best, strict=True):
+                            out.append((None, None, i, [{"id": g[1], "sim": -g[0]} for g in b], None, None, None, None, None))
+        return pd.DataFrame(out, columns=["v1", "v2", "id", "best", "least", "members", "near", "asked", "vec"])
 
-    home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, members array<struct<id: string, source: string>>, {NEAR}, asked array<struct<block: int, cells: array<long>>>, vec array<float>"
+    home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, least double, members array<struct<id: string, source: string>>, {NEAR}, asked array<struct<block: int, cells: array<long>>>, vec array<float>"
     home = materialize(blocked.groupBy("block").applyInPandas(at_home, home_type), "knn-home")
     settled = home.where(F.col("id").isNotNull()).select("id", "best")
     open_ = home.where(F.col("id").isNull())
 
-    asked = open_.where(F.size("asked") > 0).select("v1", "v2", "vec", F.explode("asked").alias("a")).select("a.block", "a.cells", "v1", "v2", "vec")
+    asked = open_.where(F.size("asked") > 0).select("v1", "v2", "vec", "least", F.explode("asked").alias("a")).select("a.block", "a.cells", "v1", "v2", "vec", "least")
     parts = materialize(asked.groupBy("block").agg(F.ceil(F.count("*") / REQUEST_ROWS).cast("int").alias("parts")), "knn-parts")
     wanted = asked.select("block", F.explode("cells").alias("cell")).distinct()
     requests = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("v1"), F.col("parts")).cast("int")).drop("parts")
@@ -306,8 +310,9 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
         block, out = Block(e), []
         q = q.assign(key=[tuple(sorted(x)) for x in q["cells"]])
         for key, f in q.groupby("key", sort=False):
-            for a, b, got in zip(f["v1"], f["v2"], block.search(_unit(f["vec"]), block.rows_of(list(key)), k), strict=True):
-                out.append((a, b, _near(got)))
+            for a, b, least, got in zip(f["v1"], f["v2"], f["least"], block.search(_unit(f["vec"]), block.rows_of(list(key)), k), strict=True):
+                if better := [g for g in got if -g[0] >= least - 1e-9]:
+                    out.append((a, b, _near(better)))
         return pd.DataFrame(out, columns=["v1", "v2", "near"])
 
     found = copies.groupBy("block", "part").cogroup(requests.groupBy("block", "part")).applyInPandas(away, f"v1 long, v2 long, {NEAR}")
