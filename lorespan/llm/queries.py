@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.llm import encode, garble, knn, language, neardup, pack, pairs, split
+from lorespan.llm import encode, garble, knn, language, mainbody, neardup, pack, pairs, split
 from lorespan.sources.tables import table
 
 NEAR_DUPLICATE = {"threshold": 0.7, "least_chars": 300, "most_chars": 3000}
@@ -26,6 +26,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(pairs.pairs_of(table(spark, sf_dir, "application_chat_record"), table(spark, sf_dir, "paragraph")))
 
 
+def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.main_lines(mainbody.web_pages(table(spark, sf_dir, "paragraph"), table(spark, sf_dir, "document")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_lines(spark, sf_dir).select("paragraph_id", "line_no")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.all_pairs(*neardup.near_duplicates(table(spark, sf_dir, "paragraph"), "id", "content", **NEAR_DUPLICATE))
 
@@ -90,6 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p1_restored": p1_restored,
         "p2_found": p2_found,
+        "p3_found": p3_found,
+        "p3_lines": p3_lines,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p5_found": p5_found,
