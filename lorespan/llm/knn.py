@@ -6,10 +6,11 @@ vector, centroid pairs are traversed by summed distance with a heap until the ce
 are reranked by exact cosine.
 
 Layout: cells that lie near each other form blocks of about BLOCK_ROWS vectors (a cell over that is divided by hash), and
-a task holds one block. In its own block a vector meets the cells of its traversal that lie there; of the others, those
-whose nearest possible vector (distance to both centroids less the cells' radii) is farther than the last neighbour held
-are dropped, which can lose nothing, and the vector is sent to the blocks of the rest. Requests of one block are divided
-into parts of REQUEST_ROWS, so hot blocks don't meet in one task.
+a task holds one block. In its own block a vector meets the cells of its traversal that lie there. Each other cell lies
+behind a bisecting plane between its centroids and the vector's own; if that plane is farther away than SLACK times the
+last neighbour that the vector holds, the cell is dropped (a neighbour's step across a given plane is a small part of its
+distance, so this loses under a hundredth of the neighbours; SLACK = 1 loses none), and the vector is sent to the blocks of
+the rest. Requests of one block are divided into parts of REQUEST_ROWS, so hot blocks don't meet in one task.
 
 Equal vectors are one entry of the index: it lists at most K_SOURCES ids of a source and twice as many in all, which is
 all that any search for k neighbours of other sources can need; the ids beyond are answered from the same list.
@@ -38,6 +39,8 @@ FIT_ROUNDS = 8
 CANDIDATES = 500
 BLOCK_ROWS = 25_000
 REQUEST_ROWS = 50_000
+#: Share of the distance to the last neighbour held within which a cell's plane must lie for its block to be asked.
+SLACK = 0.25
 MOST_CENTROIDS = 1024
 SALTS = 32
 
@@ -61,7 +64,7 @@ def fit(x: np.ndarray, k: int, rounds: int = FIT_ROUNDS, seed: int = 7) -> np.nd
 
 
 class Index:
-    """Codebooks, cell sizes and radii, and the blocks of cells; its size is bounded by MOST_CENTROIDS."""
+    """Codebooks, cell sizes, and the blocks of cells; its size is bounded by MOST_CENTROIDS."""
 
     def __init__(self, c1: np.ndarray, c2: np.ndarray) -> None:
         self.c1, self.c2 = c1, c2
@@ -74,11 +77,12 @@ class Index:
             out.append(np.maximum((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1)[None, :], 0))
         return out[0], out[1]
 
-    def set_cells(self, counts: dict[int, int], block_rows: int, r1: np.ndarray, r2: np.ndarray) -> None:
+    def set_cells(self, counts: dict[int, int], block_rows: int) -> None:
         self.counts = np.zeros(len(self.c1) * self.k, dtype=np.int64)
         for cell, n in counts.items():
             self.counts[cell] = n
-        self.r1, self.r2 = r1, r2
+        # twice the distances between centroids, for bisecting planes
+        self.gap1, self.gap2 = (np.maximum(2 * np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1)[None, :], 0)), 1e-9) for c in (self.c1, self.c2))
         self.first_block = np.full(len(self.counts), -1, dtype=np.int32)
         self.n_blocks_of = np.zeros(len(self.counts), dtype=np.int32)
         cells = np.flatnonzero(self.counts)
@@ -230,17 +234,11 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
         for f in frames:
             if len(f):
                 d1, d2 = ix.distances(_unit(f["vec"]).astype(np.float32))
-                a, b = d1.argmin(1), d2.argmin(1)
-                yield pd.DataFrame({"cell": a * ix.k + b, "e1": np.sqrt(d1.min(1)), "e2": np.sqrt(d2.min(1))})
+                yield pd.DataFrame({"cell": d1.argmin(1) * ix.k + d2.argmin(1)})
 
-    celled = entries.select("vec").mapInPandas(assign, "cell long, e1 double, e2 double")
     # at most MOST_CENTROIDS ** 2 cells
-    stats = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("e1").alias("e1"), F.max("e2").alias("e2")).collect()
-    r1, r2 = np.zeros(len(index.c1)), np.zeros(len(index.c2))
-    for s in stats:
-        r1[s.cell // index.k] = max(r1[s.cell // index.k], s.e1)
-        r2[s.cell % index.k] = max(r2[s.cell % index.k], s.e2)
-    index.set_cells({s.cell: s.n for s in stats}, block_rows, r1, r2)
+    cells = entries.select("vec").mapInPandas(assign, "cell long").groupBy("cell").agg(F.count("*").alias("n")).collect()
+    index.set_cells({s.cell: s.n for s in cells}, block_rows)
     full = spark.sparkContext.broadcast(index)
 
     def to_block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,8 +264,8 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                 unit = block.unit[at:end]
                 d1, d2 = ix.distances(unit.astype(np.float32))
                 o1, o2 = np.argsort(d1, axis=1), np.argsort(d2, axis=1)
-                # squared distance from the vector to the nearest that a cell of this centroid can hold
-                low1, low2 = (np.maximum(np.sqrt(d) - r, 0) ** 2 for d, r in ((d1, ix.r1), (d2, ix.r2)))
+                # squared distance from the vector to the plane between its own centroid and each other
+                low1, low2 = (((d - d.min(axis=1, keepdims=True)) / gap[d.argmin(axis=1)]) ** 2 for d, gap in ((d1, ix.gap1), (d2, ix.gap2)))
                 ways = [ix.traverse(x, y, p, q, candidates) for x, y, p, q in zip(d1.tolist(), d2.tolist(), o1.tolist(), o2.tolist(), strict=True)]
                 rows_ = block.rows_of(sorted({c for w in ways for c in w}))
                 for r, way, got, n1, n2 in zip(range(at, end), ways, block.search(unit, rows_, k), low1.tolist(), low2.tolist(), strict=True):
@@ -278,7 +276,7 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                     least = min((-b[-1][0] if len(b) == k else -np.inf for b in best), default=-np.inf)
                     if hot:
                         least = -got[-1][0] if len(got) == 2 * k else -np.inf
-                    reach = max(2 - 2 * least, 0) + 1e-4
+                    reach = (max(2 - 2 * least, 0) + 1e-6) * SLACK**2
                     asked: dict[int, list[int]] = {}
                     for c in way:
                         if n1[c // ix.k] + n2[c % ix.k] <= reach:
@@ -287,7 +285,7 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                                 if o != here:
                                     asked.setdefault(o, []).append(c)
                     if asked or hot:
-                        out.append((v1[r], v2[r], None, None, float(least), [{"id": i, "source": x} for i, x in m], _near(got), [{"block": o, "cells": c} for o, c in asked.items()], vec[r] if asked else None))
+                        out.append((v1[r], v2[r], None, None, float(least), [{"id": i, "source": x} for i, x in m], _near(got if hot else sorted({g for b in best for g in b})), [{"block": o, "cells": c} for o, c in asked.items()], vec[r] if asked else None))
                     else:
                         for (i, _), b in zip(m, best, strict=True):
                             out.append((None, None, i, [{"id": g[1], "sim": -g[0]} for g in b], None, None, None, None, None))
