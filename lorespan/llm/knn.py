@@ -15,6 +15,8 @@ the rest. Requests of one block are divided into parts of REQUEST_ROWS, so hot b
 Equal vectors are one entry of the index: it lists at most K_SOURCES ids of a source and twice as many in all, which is
 all that any search for k neighbours of other sources can need; the ids beyond are answered from the same list.
 
+Sources are told apart by 64-bit hashes, as only their equality counts.
+
 Defined results: rows that are inactive, null, of another length, all zero, or hold null or NaN take no part; rows of the
 same source are never neighbours (a null source is no source and equals none); ties go to the smaller id; a record
 delivered again counts once; a vector with fewer than k possible neighbours gets those there are.
@@ -40,7 +42,7 @@ CANDIDATES = 500
 BLOCK_ROWS = 25_000
 REQUEST_ROWS = 50_000
 #: Share of the distance to the last neighbour held within which a cell's plane must lie for its block to be asked.
-SLACK = 0.25
+SLACK = 0.2
 MOST_CENTROIDS = 1024
 SALTS = 32
 
@@ -130,7 +132,7 @@ def _unit(col: pd.Series) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _listed(rows: list[tuple[float, str, str | None]], k: int) -> list[tuple[float, str, str | None]]:
+def _listed(rows: list[tuple[float, str, int | None]], k: int) -> list[tuple[float, str, int | None]]:
     """Of (-similarity, id, source), sorted: at most k of a source and 2 k in all."""
     out, of = [], {}
     for r in rows:
@@ -160,7 +162,7 @@ class Block:
         spans = [self.span[c] for c in cells if c in self.span]
         return np.concatenate([np.arange(a, b) for a, b in spans]) if spans else np.zeros(0, dtype=np.int64)
 
-    def search(self, unit: np.ndarray, rows: np.ndarray, k: int) -> list[list[tuple[float, str, str | None]]]:
+    def search(self, unit: np.ndarray, rows: np.ndarray, k: int) -> list[list[tuple[float, str, int | None]]]:
         """For each query the list of its best neighbours among the rows, as _listed gives it."""
         if not len(rows):
             return [[] for _ in unit]
@@ -185,7 +187,7 @@ class Block:
         return out
 
 
-NEAR = "near array<struct<sim: double, id: string, source: string>>"
+NEAR = "near array<struct<sim: double, id: string, source: bigint>>"
 
 
 def _near(rows: list) -> list[dict]:
@@ -193,10 +195,10 @@ def _near(rows: list) -> list[dict]:
 
 
 def usable(df: DataFrame, dims: int) -> DataFrame:
-    """id, source, vec and the 128-bit key (v1, v2) of the vector, of rows that take part."""
+    """id, source (hash), vec and the 128-bit key (v1, v2) of the vector, of rows that take part."""
     v = F.col("embedding")
     ok = F.col("is_active") & F.col("id").isNotNull() & (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.where(ok).select("id", F.col("source_id").alias("source"), v.alias("vec"), F.xxhash64(v).alias("v1"), F.xxhash64(F.reverse(v)).alias("v2"))
+    return df.where(ok).select("id", F.when(F.col("source_id").isNotNull(), F.xxhash64("source_id")).alias("source"), v.alias("vec"), F.xxhash64(v).alias("v1"), F.xxhash64(F.reverse(v)).alias("v2"))
 
 
 def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CANDIDATES, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -251,7 +253,7 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                 f["block"] = ix.first_block[cell] + np.abs(f["v2"].to_numpy() % ix.n_blocks_of[cell])
                 yield f[["block", "cell", "v1", "v2", "vec", "members"]]
 
-    entry_type = "block int, cell long, v1 long, v2 long, vec array<float>, members array<struct<id: string, source: string>>"
+    entry_type = "block int, cell long, v1 long, v2 long, vec array<float>, members array<struct<id: string, source: bigint>>"
     blocked = entries.select("v1", "v2", "vec", "members").mapInPandas(to_block, entry_type)
 
     def at_home(f: pd.DataFrame) -> pd.DataFrame:
@@ -291,7 +293,7 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                             out.append((None, None, i, [{"id": g[1], "sim": -g[0]} for g in b], None, None, None, None, None))
         return pd.DataFrame(out, columns=["v1", "v2", "id", "best", "least", "members", "near", "asked", "vec"])
 
-    home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, least double, members array<struct<id: string, source: string>>, {NEAR}, asked array<struct<block: int, cells: array<long>>>, vec array<float>"
+    home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, least double, members array<struct<id: string, source: bigint>>, {NEAR}, asked array<struct<block: int, cells: array<long>>>, vec array<float>"
     home = materialize(blocked.groupBy("block").applyInPandas(at_home, home_type), "knn-home")
     settled = home.where(F.col("id").isNotNull()).select("id", "best")
     open_ = home.where(F.col("id").isNull())
