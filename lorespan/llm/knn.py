@@ -291,7 +291,8 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                     else:
                         for (i, _), b in zip(m, best, strict=True):
                             out.append((None, None, i, [{"id": g[1], "sim": -g[0]} for g in b], None, None, None, None, None))
-        return pd.DataFrame(out, columns=["v1", "v2", "id", "best", "least", "members", "near", "asked", "vec"])
+        # as objects: keys beside nulls would become floats
+        return pd.DataFrame(out, dtype=object, columns=["v1", "v2", "id", "best", "least", "members", "near", "asked", "vec"])
 
     home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, least double, members array<struct<id: string, source: bigint>>, {NEAR}, asked array<struct<block: int, cells: array<long>>>, vec array<float>"
     home = materialize(blocked.groupBy("block").applyInPandas(at_home, home_type), "knn-home")

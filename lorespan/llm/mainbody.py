@@ -120,7 +120,7 @@ def _mark_links(lines: list[Line]) -> None:
     # the trail of links that ends in the page's title
     trail = title = None
     for i, x in enumerate(full):
-        if x.kind not in ("prose", "link") or not (parts := _trail_parts(x.text)):
+        if x.kind not in ("prose", "link") or _is_notice(x.text) or not (parts := _trail_parts(x.text)):
             continue
         at = next((j for j in range(i + 1, len(full)) if _key(full[j].text) == _key(parts[-1]) and full[j].kind in ("heading", "prose")), None)
         if at is not None or (trail is None and i <= 30 and not _SENTENCE_END.search(x.text) and not re.search(r"[:：]", parts[0]) and all(y.kind == "link" or _title_like(y.text) for y in full[:i])):
