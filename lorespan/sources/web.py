@@ -219,5 +219,5 @@ def crawl(pages: DataFrame, start: DataFrame, depth: int = 2, selectors: list[st
     for level in range(depth + 1):
         reached = materialize(parsed.join(frontier, "key", "left_semi").withColumn("level", F.lit(level)), f"crawl-{level}")
         visited = reached if visited is None else visited.unionByName(reached)
-        frontier = reached.select(page_key(F.explode("links")).alias("key")).distinct().join(visited.select("key"), "key", "left_anti")
+        frontier = reached.select(F.explode("links").alias("link")).select(page_key("link").alias("key")).distinct().join(visited.select("key"), "key", "left_anti")
     return visited.select("url", "content", "level")

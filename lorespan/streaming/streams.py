@@ -47,22 +47,18 @@ def sessions(records: DataFrame, gap: str = "30 minutes", late: str = "1 day") -
 
 def votes(events: DataFrame) -> DataFrame:
     """Vote events (record_id, wish, at) folded by the vote rules: only an open record takes a vote, a given one is only
-    withdrawn. State lives for a day after the last event."""
+    withdrawn. The state is one character per record; it has no timeout, as one would keep a bounded stream from ending."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         now = state.get[0] if state.exists else "-1"
         rows = pd.concat(list(frames)).sort_values("at", kind="stable")
         for wish in rows["wish"]:
             if (now == "-1" and wish in ("0", "1")) or (now != "-1" and wish == "-1"):
                 now = wish
         state.update((now,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
         yield pd.DataFrame({"record_id": [key[0]], "vote_status": [now]})
 
-    return events.groupBy("record_id").applyInPandasWithState(step, "record_id string, vote_status string", "vote_status string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("record_id").applyInPandasWithState(step, "record_id string, vote_status string", "vote_status string", "update", GroupStateTimeout.NoTimeout)
 
 
 def ingest(files: DataFrame, parse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
