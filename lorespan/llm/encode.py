@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorespan.session import spread
+
 #: Folder of the vocabulary files.
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
@@ -179,7 +181,7 @@ def _batches(batch: pa.RecordBatch, text_at: int, limit: int = 4_000_000) -> Ite
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """Columns id_col and ids of every row; one pass over the texts, without a shuffle."""
+    """Columns id_col and ids of every row; one pass over the texts; they are shuffled only if they come in fewer partitions than there are cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder.of(tokenizer_dir, tokenizer)
@@ -193,7 +195,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER
 
     source = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField(id_col, source.schema[0].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return source.mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)
 
 
 def token_counts(df: DataFrame, keep: list[str], text_col: str, tokenizer: str = TOKENIZER, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
@@ -209,4 +211,4 @@ def token_counts(df: DataFrame, keep: list[str], text_col: str, tokenizer: str =
 
     source = df.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_tokens", T.IntegerType())])
-    return source.mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)

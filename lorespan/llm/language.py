@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespan.session import spread
+
 FIT_DOCS = 400
 FIT_CHARS = 20_000
 MIN_LETTERS = 40
@@ -267,7 +269,7 @@ def judge(docs: DataFrame, filters: Filters) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "lang", "n_letters", "language", "confidence", "languages", "segments"])
 
     letters = F.coalesce(F.length(F.regexp_replace("text", r"[^\p{L}]", "")), F.lit(0)).cast("long")
-    return docs.select("doc_id", "lang", letters.alias("n_letters"), "text").mapInPandas(run, RESULT)
+    return spread(docs.select("doc_id", "lang", letters.alias("n_letters"), "text")).mapInPandas(run, RESULT)
 
 
 def wrong_labels(judged: DataFrame, codes: dict[str, str]) -> DataFrame:

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespan.session import spread
+
 MOST_LINKS = 0.5
 TITLE_CHARS = 90
 
@@ -201,7 +203,7 @@ def main_lines(pages: DataFrame) -> DataFrame:
                 out.append((i, [{"line_no": n, "line": split[n]} for n in article_lines(c)]))
             yield pd.DataFrame(out, columns=["paragraph_id", "lines"])
 
-    kept = pages.mapInPandas(run, "paragraph_id string, lines array<struct<line_no: int, line: string>>").where(F.size("lines") > 0)
+    kept = spread(pages).mapInPandas(run, "paragraph_id string, lines array<struct<line_no: int, line: string>>").where(F.size("lines") > 0)
     return kept.dropDuplicates(["paragraph_id"]).select("paragraph_id", F.explode("lines").alias("x")).select("paragraph_id", "x.line_no", "x.line")
 
 

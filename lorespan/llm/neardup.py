@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.session import materialize
+from lorespan.session import materialize, spread
 
 CHARS = 5
 ROWS, BANDS = 6, 50
@@ -145,7 +145,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float,
     keyed = rows.select("id", "content", F.md5(F.col("content").cast("binary")).alias("key"))
     reps = materialize(keyed.dropDuplicates(["key"]).select("key", "content", F.monotonically_increasing_id().alias("rid")), "dup-texts")
     members = materialize(keyed.select("id", "key").distinct().join(reps.select("key", "rid"), "key").select("rid", "id"), "dup-members")
-    signed = materialize(_sign(reps.select("rid", "content")), "dup-signatures")
+    signed = materialize(_sign(spread(reps.select("rid", "content"))), "dup-signatures")
     cand = _candidates(signed, threshold - MARGIN)
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

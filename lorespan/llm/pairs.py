@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespan.session import spread
+
 #: Share of a question that a copied span repeats, and what else a copy may hold: a lead-in of so many letters, or this share.
 COPIED, LEAD_IN, LEAD_SHARE = 0.85, 28, 0.2
 
@@ -350,4 +352,4 @@ def defects(pairs: DataFrame) -> DataFrame:
             out = [(t, i, d) for t, i, q, a in f.itertuples(index=False) if (d := defect(q if q is None else list(q), a))]
             yield pd.DataFrame(out, columns=["item_table", "item_id", "defect"])
 
-    return pairs.mapInPandas(run, "item_table string, item_id string, defect string").dropDuplicates(["item_table", "item_id"])
+    return spread(pairs).mapInPandas(run, "item_table string, item_id string, defect string").dropDuplicates(["item_table", "item_id"])
