@@ -65,3 +65,9 @@ def ship(spark: SparkSession) -> None:
                     out.write(path, os.path.relpath(path, root))
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, where the input comes in fewer partitions than there are; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
