@@ -203,10 +203,10 @@ def main_lines(pages: DataFrame) -> DataFrame:
                 out.append((i, [{"line_no": n, "line": split[n]} for n in article_lines(c)]))
             yield pd.DataFrame(out, columns=["paragraph_id", "lines"])
 
-    kept = spread(pages).mapInPandas(run, "paragraph_id string, lines array<struct<line_no: int, line: string>>").where(F.size("lines") > 0)
+    kept = pages.mapInPandas(run, "paragraph_id string, lines array<struct<line_no: int, line: string>>").where(F.size("lines") > 0)
     return kept.dropDuplicates(["paragraph_id"]).select("paragraph_id", F.explode("lines").alias("x")).select("paragraph_id", "x.line_no", "x.line")
 
 
 def web_pages(paragraph: DataFrame, document: DataFrame) -> DataFrame:
     web = document.where(F.col("doc_type") == 1).select(F.col("id").alias("document_id"))
-    return paragraph.where(F.col("id").isNotNull() & F.col("content").isNotNull()).join(web, "document_id", "left_semi").select(F.col("id").alias("paragraph_id"), "content")
+    return spread(paragraph.where(F.col("id").isNotNull() & F.col("content").isNotNull()).select("id", "document_id", "content")).join(web, "document_id", "left_semi").select(F.col("id").alias("paragraph_id"), "content")
