@@ -68,6 +68,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Over all cores, where the input comes in fewer partitions than there are; else as it is, without a shuffle."""
+    """Over all cores, where the input comes in fewer partitions than there are; else as it is, without a shuffle.
+    For scans and what is computed row by row from them: counting the partitions of a plan with shuffles would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
