@@ -13,7 +13,8 @@ distance, so this loses under a hundredth of the neighbours; SLACK = 1 loses non
 the rest. Requests of one block are divided into parts of REQUEST_ROWS, so hot blocks don't meet in one task.
 
 Equal vectors are one entry of the index: it lists at most K_SOURCES ids of a source and twice as many in all, which is
-all that any search for k neighbours of other sources can need; the ids beyond are answered from the same list.
+all that any search for k neighbours of other sources can need; the ids beyond are answered from the same list, which may
+be shorter than that where few sources share the vector.
 
 Sources are told apart by 64-bit hashes, as only their equality counts.
 
@@ -209,7 +210,7 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
     hot_keys = materialize(rows.groupBy("v1", "v2").agg(F.count("*").alias("n")).where(F.col("n") > 2 * k).select("v1", "v2"), "knn-hot")
     any_hot = not hot_keys.isEmpty()
     cold = rows.join(hot_keys, ["v1", "v2"], "left_anti") if any_hot else rows
-    entries = cold.groupBy("v1", "v2").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_set(F.struct("id", "source"))).alias("members"))
+    entries = cold.groupBy("v1", "v2").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_set(F.struct("id", "source"))).alias("members"), F.lit(False).alias("hot"))
     if any_hot:
         hot_ids = rows.join(hot_keys, ["v1", "v2"]).select("v1", "v2", "id", "source").distinct()
         by_source = W.partitionBy("v1", "v2", "source").orderBy("id")
@@ -217,7 +218,7 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
         # a null source equals no other, so its rows aren't limited by source
         few = hot_ids.withColumn("n", F.row_number().over(by_source)).where((F.col("n") <= k) | F.col("source").isNull())
         ranked = few.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= 2 * k)
-        kept = ranked.groupBy("v1", "v2").agg(F.sort_array(F.collect_list(F.struct("id", "source"))).alias("members"))
+        kept = ranked.groupBy("v1", "v2").agg(F.sort_array(F.collect_list(F.struct("id", "source"))).alias("members"), F.lit(True).alias("hot"))
         vectors = rows.select("v1", "v2", "vec").join(hot_keys, ["v1", "v2"]).dropDuplicates(["v1", "v2"])
         entries = entries.unionByName(vectors.join(kept, ["v1", "v2"]))
     entries = materialize(entries, "knn-entries")
@@ -251,15 +252,15 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                 cell = d1.argmin(1) * ix.k + d2.argmin(1)
                 f["cell"] = cell
                 f["block"] = ix.first_block[cell] + np.abs(f["v2"].to_numpy() % ix.n_blocks_of[cell])
-                yield f[["block", "cell", "v1", "v2", "vec", "members"]]
+                yield f[["block", "cell", "v1", "v2", "vec", "members", "hot"]]
 
-    entry_type = "block int, cell long, v1 long, v2 long, vec array<float>, members array<struct<id: string, source: bigint>>"
-    blocked = entries.select("v1", "v2", "vec", "members").mapInPandas(to_block, entry_type)
+    entry_type = "block int, cell long, v1 long, v2 long, vec array<float>, members array<struct<id: string, source: bigint>>, hot boolean"
+    blocked = entries.select("v1", "v2", "vec", "members", "hot").mapInPandas(to_block, entry_type)
 
     def at_home(f: pd.DataFrame) -> pd.DataFrame:
         ix, block = full.value, Block(f)
         here, out = int(f["block"].iloc[0]), []
-        v1, v2, vec = (block.f[c].tolist() for c in ("v1", "v2", "vec"))
+        v1, v2, vec, is_hot = (block.f[c].tolist() for c in ("v1", "v2", "vec", "hot"))
         for a, b in block.span.values():
             for at in range(a, b, 2048):
                 end = min(at + 2048, b)
@@ -272,7 +273,7 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                 rows_ = block.rows_of(sorted({c for w in ways for c in w}))
                 for r, way, got, n1, n2 in zip(range(at, end), ways, block.search(unit, rows_, k), low1.tolist(), low2.tolist(), strict=True):
                     m = block.members[r]
-                    hot = len(m) == 2 * k
+                    hot = is_hot[r]
                     best = [[g for g in got if g[1] != i and (x is None or g[2] != x)][:k] for i, x in m]
                     # the least similarity that can still enter a list; ids of hot vectors may have any source
                     least = min((-b[-1][0] if len(b) == k else -np.inf for b in best), default=-np.inf)
@@ -287,14 +288,14 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                                 if o != here:
                                     asked.setdefault(o, []).append(c)
                     if asked or hot:
-                        out.append((v1[r], v2[r], None, None, float(least), [{"id": i, "source": x} for i, x in m], _near(got if hot else sorted({g for b in best for g in b})), [{"block": o, "cells": c} for o, c in asked.items()], vec[r] if asked else None))
+                        out.append((v1[r], v2[r], None, None, float(least), [{"id": i, "source": x} for i, x in m], _near(got if hot else sorted({g for b in best for g in b})), [{"block": o, "cells": c} for o, c in asked.items()], vec[r] if asked else None, hot))
                     else:
                         for (i, _), b in zip(m, best, strict=True):
-                            out.append((None, None, i, [{"id": g[1], "sim": -g[0]} for g in b], None, None, None, None, None))
+                            out.append((None, None, i, [{"id": g[1], "sim": -g[0]} for g in b], None, None, None, None, None, None))
         # as objects: keys beside nulls would become floats
-        return pd.DataFrame(out, dtype=object, columns=["v1", "v2", "id", "best", "least", "members", "near", "asked", "vec"])
+        return pd.DataFrame(out, dtype=object, columns=["v1", "v2", "id", "best", "least", "members", "near", "asked", "vec", "hot"])
 
-    home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, least double, members array<struct<id: string, source: bigint>>, {NEAR}, asked array<struct<block: int, cells: array<long>>>, vec array<float>"
+    home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, least double, members array<struct<id: string, source: bigint>>, {NEAR}, asked array<struct<block: int, cells: array<long>>>, vec array<float>, hot boolean"
     home = materialize(blocked.groupBy("block").applyInPandas(at_home, home_type), "knn-home")
     settled = home.where(F.col("id").isNotNull()).select("id", "best")
     open_ = home.where(F.col("id").isNull())
@@ -317,13 +318,13 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
         return pd.DataFrame(out, columns=["v1", "v2", "near"])
 
     found = copies.groupBy("block", "part").cogroup(requests.groupBy("block", "part")).applyInPandas(away, f"v1 long, v2 long, {NEAR}")
-    both = open_.select("v1", "v2", "members", "near").unionByName(found, allowMissingColumns=True)
-    merged = both.groupBy("v1", "v2").agg(F.first("members", ignorenulls=True).alias("members"), F.flatten(F.collect_list("near")).alias("near"))
+    both = open_.select("v1", "v2", "members", "hot", "near").unionByName(found, allowMissingColumns=True)
+    merged = both.groupBy("v1", "v2").agg(F.first("members", ignorenulls=True).alias("members"), F.max("hot").alias("hot"), F.flatten(F.collect_list("near")).alias("near"))
     merged = merged.withColumn("near", F.array_sort(F.transform("near", lambda x: F.struct((-x["sim"]).alias("d"), x["id"].alias("id"), x["source"].alias("source")))))
     own = merged.select(F.explode("members").alias("m"), "near").select("m.id", "m.source", "near")
     if any_hot:
         # ids of equal vectors beyond those listed; a vector may have very many, so its list is salted
-        hot = merged.where(F.size("members") == 2 * k).select("v1", "v2", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        hot = merged.where("hot").select("v1", "v2", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         rest = hot_ids.join(ranked.select("id"), "id", "left_anti").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         own = own.unionByName(rest.join(hot, ["v1", "v2", "salt"]).select("id", "source", "near"))
     others = own.select("id", F.slice(F.filter("near", lambda x: (x["id"] != F.col("id")) & ~F.coalesce(x["source"] == F.col("source"), F.lit(False))), 1, k).alias("near"))

@@ -200,6 +200,17 @@ def test_hot_equal_vectors_are_exact(spark):
     assert got == _brute(rows)
 
 
+def test_hot_equal_vectors_of_few_sources_are_exact(spark):
+    one, two, other = [1.0] + [0.0] * 63, [0.0, 1.0] + [0.0] * 62, [0.9, 0.1] + [0.0] * 62
+    rows = [(f"h{i:02}", "a", one) for i in range(30)] + [(f"g{i:02}", "b" if i < 20 else "c", two) for i in range(23)] + [(f"o{i}", f"o{i}", other) for i in range(3)]
+    df = spark.createDataFrame([(i, s, v, True) for i, s, v in rows], "id string, source_id string, embedding array<float>, is_active boolean")
+    for block_rows in (25_000, 1):
+        got = defaultdict(list)
+        for r in knn.neighbours(df, block_rows=block_rows).orderBy("id", "rank").collect():
+            got[r.id].append(r.neighbour)
+        assert got == _brute(rows)
+
+
 def test_shingles_are_of_code_points():
     assert len(neardup.shingle_hashes("🙂🙂🙂🙂🙂a")) == 2 and len(neardup.shingle_hashes("abcd")) == 0
     assert neardup.jaccard("abcdef", "abcdef") == 1 and neardup.jaccard("", "") == 0
