@@ -37,6 +37,14 @@ def test_only_the_garbled_part_is_replaced(restorer):
     assert hit and out == "Größe Ø 94 mm. " + FR[0]
 
 
+def test_rare_groups_have_forms():
+    common = "".join(chr(0x4E00 + i) for i in range(3500))
+    rare = "".join(chr(0x4E00 + i) for i in range(5000, 5020))
+    forms, _ = garble.fit([common] * 9 + [rare] * 2)
+    bad = garble.garbled(rare[4:14], "utf-8", "gbk")
+    assert garble.LOST not in bad and any(f in bad for f in forms)
+
+
 @pytest.mark.parametrize("text", CLEAN + EN + FR + RU + ZH + [None, "", "plain ascii"])
 def test_correct_text_is_unaffected(restorer, text):
     assert restorer.restore(text) == (text, [], False)
