@@ -15,7 +15,7 @@ NEAR_DUPLICATE = {"threshold": 0.7, "least_chars": 300, "most_chars": 3000}
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = garble.fields({t: table(spark, sf_dir, t) for t in ("paragraph", "document", "document_import")})
-    return garble.restore(rows, garble.fit(garble.sample(rows)))
+    return garble.restore(rows, garble.fit_rows(rows))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

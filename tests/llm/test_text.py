@@ -45,6 +45,14 @@ def test_rare_groups_have_forms():
     assert garble.LOST not in bad and any(f in bad for f in forms)
 
 
+def test_fit_counts_all_distinct_records(spark):
+    texts = FR + RU + ZH + ["é" * 20_001]
+    rows = spark.createDataFrame([("paragraph", f"{n}-{i}", t) for n in range(3) for i, t in enumerate(texts)] + [("paragraph", "0-0", texts[0]), ("document", "x", None)], "item_table string, item_id string, text string")
+    forms, model = garble.fit_rows(rows)
+    want, of = garble.fit(texts * 3)
+    assert forms == want and model.pairs == of.pairs and model.singles == of.singles and model.singles["é"] > 60_000
+
+
 @pytest.mark.parametrize("text", CLEAN + EN + FR + RU + ZH + [None, "", "plain ascii"])
 def test_correct_text_is_unaffected(restorer, text):
     assert restorer.restore(text) == (text, [], False)
