@@ -8,8 +8,7 @@ are reranked by exact cosine.
 Layout: cells that lie near each other form blocks of about BLOCK_ROWS vectors (a cell over that is divided by hash), and
 a task holds one block. In its own block a vector meets the cells of its traversal that lie there. Each other cell lies
 behind a bisecting plane between its centroids and the vector's own; if that plane is farther away than SLACK times the
-last neighbour that the vector holds, the cell is dropped (a neighbour's step across a given plane is a small part of its
-distance, so this loses under a hundredth of the neighbours; SLACK = 1 loses none), and the vector is sent to the blocks of
+last neighbour that the vector holds, the cell is dropped (SLACK = 1 loses no neighbour of the traversal), and the vector is sent to the blocks of
 the rest. Requests of one block are divided into parts of REQUEST_ROWS, so hot blocks don't meet in one task.
 
 Equal vectors are one entry of the index: it lists at most K_SOURCES ids of a source and twice as many in all, which is
@@ -43,7 +42,7 @@ CANDIDATES = 500
 BLOCK_ROWS = 25_000
 REQUEST_ROWS = 50_000
 #: Share of the distance to the last neighbour held within which a cell's plane must lie for its block to be asked.
-SLACK = 0.2
+SLACK = 1
 MOST_CENTROIDS = 1024
 SALTS = 32
 

@@ -190,6 +190,13 @@ def test_neighbours_against_brute_force(spark):
     assert knn.neighbours(df.limit(0)).count() == 0
 
 
+def test_blocks_lose_no_neighbour_of_the_traversal(spark):
+    vectors = np.random.default_rng(3).normal(size=(600, 64)).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:03}", f"s{i}", v.tolist(), True) for i, v in enumerate(vectors)], "id string, source_id string, embedding array<float>, is_active boolean")
+    one, many = ({(r.id, r.rank, r.neighbour) for r in knn.neighbours(df, candidates=1000, block_rows=n).collect()} for n in (25_000, 100))
+    assert len(one) == 3000 and one == many
+
+
 def test_hot_equal_vectors_are_exact(spark):
     one, other = [1.0] + [0.0] * 63, [0.9, 0.1] + [0.0] * 62
     rows = [(f"h{i:03}", f"s{i % 40}", one) for i in range(300)] + [(f"o{i}", "o", other) for i in range(3)]
