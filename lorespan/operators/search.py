@@ -57,9 +57,15 @@ def search(rows: DataFrame, mode: str, query_vector: list[float] | None = None,
     return top(best_per_paragraph(rows.select("id", "paragraph_id", score.alias("score"))), threshold, top_n)
 
 
+#: The largest batch of query vectors that is broadcast.
+MOST_QUERIES = 10_000
+
+
 def search_many(rows: DataFrame, queries: DataFrame, threshold: float, top_n: int) -> DataFrame:
     """query_id, paragraph_id, score, rank for a bounded batch of query vectors (query_id, query_vector) against all rows."""
-    q = F.broadcast(queries.limit(10_000))
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors")
+    q = F.broadcast(queries)
     scored = rows.select("id", "paragraph_id", "embedding").join(q).select("query_id", "paragraph_id", V.cosine("embedding", "query_vector").alias("score")).where(F.col("score") > threshold)
     best = scored.groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "paragraph_id")

@@ -73,6 +73,8 @@ def test_contexts_rerank_and_models(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, query_vector array<float>")
     v = spark.createDataFrame([("e", "p", [1.0, 0.0])], "id string, paragraph_id string, embedding array<float>")
     assert rows(search.search_many(v, q, 0.5, 3)) == [("q", "p", 1.0, 1)]
+    with pytest.raises(ValueError):
+        search.search_many(v, q.crossJoin(spark.range(10_001)), 0.5, 3)
 
 
 def test_relational(spark):
