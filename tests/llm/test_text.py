@@ -1,6 +1,7 @@
 """Encoding repair, pair defects, main bodies and languages."""
 
 import random
+import time
 
 import pytest
 
@@ -45,14 +46,48 @@ def test_rare_groups_have_forms():
     assert garble.LOST not in bad and any(f in bad for f in forms)
 
 
-def test_fit_counts_all_distinct_records(spark):
+def test_fit_counts_every_row(spark):
     texts = FR + RU + ZH + ["é" * 20_001]
-    rows = spark.createDataFrame([("paragraph", f"{n}-{i}", t) for n in range(3) for i, t in enumerate(texts)] + [("paragraph", "0-0", texts[0]), ("document", "x", None)], "item_table string, item_id string, text string")
+    rows = spark.createDataFrame([("paragraph", f"{n}-{i}", t) for n in range(3) for i, t in enumerate(texts)] + [("document", "x", None), ("document", "y", "")], "item_table string, item_id string, text string")
     forms, model = garble.fit_rows(rows)
     want, of = garble.fit(texts * 3)
     assert forms == want and model.pairs == of.pairs and model.singles == of.singles and model.singles["é"] > 60_000
 
 
+OTHER = {
+    "el": ("Ο εκτυπωτής ελέγχει την ημερήσια αναφορά και περιμένει την έγκριση.", "cp1253"),
+    "cs": ("Tiskárna zkontroluje denní hlášení a čeká na schválení příštího týdne.", "cp1250"),
+    "ko": ("프린터는 일일 보고서를 확인하고 승인을 기다립니다.", "cp949"),
+    "ar": ("تفحص الطابعة التقرير اليومي ثم تنتظر الموافقة.", "cp1256"),
+    "he": ("המדפסת בודקת את הדוח היומי וממתינה לאישור.", "cp1255"),
+    "tr": ("Yazıcı günlük raporu denetler ve onayı bekler, şimdi çalışıyor.", "cp1254"),
+}
+
+
+@pytest.fixture(scope="module")
+def of_many_scripts():
+    return garble.Restorer(*garble.fit((EN + FR + RU + ZH) * 60 + CLEAN * 12 + [t for t, _ in OTHER.values()] * 20))
+
+
+@pytest.mark.parametrize("lang", OTHER)
+@pytest.mark.parametrize("wrong", ["latin-1", "cp1252"])
+def test_any_script_of_the_corpus_is_restored(of_many_scripts, lang, wrong):
+    text, own = OTHER[lang]
+    for true in ("utf-8", own):
+        bad = garble.garbled(text, true, wrong)
+        assert of_many_scripts.restore(bad)[0] == text, (true, bad)
+    assert of_many_scripts.restore(text) == (text, [], False)
+
+
+def test_a_long_garbled_run_takes_time_in_proportion(restorer):
+    text = (ZH[0] + ZH[1]) * 500
+    bad = garble.garbled(text, "utf-8", "latin-1")
+    assert len(bad) > 100_000
+    began = time.time()
+    assert restorer.restore(bad)[0] == text
+    assert time.time() - began < 5
+
+
 @pytest.mark.parametrize("text", CLEAN + EN + FR + RU + ZH + [None, "", "plain ascii"])
 def test_correct_text_is_unaffected(restorer, text):
     assert restorer.restore(text) == (text, [], False)
@@ -72,7 +107,7 @@ def test_garble_on_spark_with_redelivery_nulls_and_empty_tables(spark):
     got = garble.restore(fields, garble.fit((EN + FR) * 30)).collect()
     assert [(r.item_table, r.item_id, r.restored) for r in got] == [("paragraph", "a", FR[0])]
     none = garble.fields({"document": doc})
-    assert garble.restore(none, garble.fit(garble.sample(none))).count() == 0
+    assert garble.restore(none, garble.fit_rows(none)).count() == 0
 
 
 Q = "How long does it take until the label printer checks the daily report?"
