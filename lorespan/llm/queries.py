@@ -27,7 +27,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mainbody.main_lines(mainbody.web_pages(table(spark, sf_dir, "paragraph"), table(spark, sf_dir, "document")))
+    pages = mainbody.web_pages(table(spark, sf_dir, "paragraph"), table(spark, sf_dir, "document"))
+    return mainbody.main_lines(pages, mainbody.fit_pages(pages))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,18 +169,73 @@ Back to top ↑
 © 2025 Printer Group. All rights reserved."""
 
 
-def test_main_body():
-    assert mainbody.article_lines(PAGE) == [3, 4, 5, 10, 11, 12, 13, 14, 15]
-    assert mainbody.article_lines("Only text.\n\nNothing else here.") == [0, 2]
-    assert mainbody.article_lines(None) == mainbody.article_lines("") == mainbody.article_lines("\n \n") == []
+def _pages(n, rng):
+    """Pages with links and notices around an article, and pages that are only one."""
+    name = lambda: rng.choice("BDFGKLM") + rng.choice(["or", "al", "en", "um"]) + rng.choice(["ix", "ara", "dek"])
+    says = lambda: f"The {rng.choice(['printer', 'console', 'scanner', 'gateway'])} {name()} {rng.choice(['checks', 'stores', 'merges', 'renames'])} the {rng.choice(['daily report', 'draft policy', 'access tokens'])}, and then it waits for approval."
+    out = []
+    for i in range(n):
+        title = f"Setting up {name()}"
+        body = [f"# {title}", " ".join(says() for _ in range(3)), "The console stores its session in one cookie; delete the cookie to sign out everywhere.", f"- {says()}", f"  * the draft policy AB-{rng.randrange(9999)}", "", says(), f"| {name()} | AB-{rng.randrange(9999)} | 12 |"]
+        side = ["Related articles", f"* Handling {name()}", f"Overview of {name()}"]
+        head = ["We use cookies to improve your visit. Accept all / Reject / Settings", "Home | Pricing | Blog | Contact", f"Home > {name()} > {title}"]
+        out.append("\n".join(body if i % 2 else [*head, *body[:4], *side, *body[4:], "Back to top ↑", f"© {rng.randrange(2015, 2026)} {name()} Group. All rights reserved."]))
+    return out
+
+
+@pytest.fixture(scope="module")
+def links():
+    return mainbody.fit(_pages(200, random.Random(9)))
+
+
+BODY = [3, 4, 5, 10, 11, 12, 13, 14, 15]
+
+
+def test_main_body(links):
+    assert mainbody.article_lines(PAGE, links) == BODY
+    assert mainbody.article_lines("Only text.\n\nNothing else here.", links) == [0, 2]
+    for empty in (None, "", "\n \n"):
+        assert mainbody.article_lines(empty, links) == []
+    long = "\n".join([*PAGE.split("\n")[:4], *("The printer checks the daily report, and then it waits for approval. " * 3 for _ in range(20_000))])
+    assert len(mainbody.article_lines(long, links)) == 20_001
+
+
+def test_main_body_of_held_out_pages(links):
+    pages = _pages(100, random.Random(10))
+    for i, page in enumerate(pages):
+        lines = page.split("\n")
+        own = set(range(len(lines))) if i % 2 else {3, 4, 5, 6, 10, 11, 12, 13}
+        assert mainbody.article_lines(page, links) == sorted(n for n in own if lines[n].strip())
+
+
+def test_scores_decide(links, monkeypatch):
+    monkeypatch.setattr(mainbody.Line, "points", 1.0)
+    monkeypatch.setattr(mainbody.Node, "density", lambda self: 0.0)
+    for name in ("score", "per_line", "typical"):
+        monkeypatch.setattr(mainbody.Node, name, lambda self: 1.0)
+    assert mainbody.article_lines(PAGE, links) != BODY
+
+
+def test_points_pass_to_ancestors_discounted_by_links():
+    line = lambda text, links: mainbody.Line(0, text, "text", "text", len(text), links)
+    few, many = mainbody.Node([line("a, b, c" * 40, 0.0)]), mainbody.Node([line("a, b, c" * 40, 0.9)])
+    assert few.score() > 50 * many.score() > 0
+    assert mainbody.Node([line("one, two, three.", 0.0)]).score() > mainbody.Node([line("one two three.", 0.0)]).score()
+    assert mainbody.Node(few.lines, 0.5).score() == few.score() / 2
 
 
 def test_main_body_on_spark(spark):
-    par = spark.createDataFrame([("p1", "d1", PAGE), ("p1", "d1", PAGE), ("p2", "d2", PAGE), ("p3", "d1", None)], "id string, document_id string, content string")
+    pages = _pages(120, random.Random(11))
+    par = spark.createDataFrame([("p1", "d1", PAGE), ("p1", "d1", PAGE), ("p2", "d2", PAGE), ("p3", "d1", None)] + [(f"x{i}", "d1", p) for i, p in enumerate(pages)], "id string, document_id string, content string")
     doc = spark.createDataFrame([("d1", 1, "x"), ("d1", 1, "x"), ("d2", 0, "x")], "id string, doc_type int, content string")
-    got = mainbody.main_lines(mainbody.web_pages(par, doc))
-    assert sorted((r.paragraph_id, r.line_no) for r in got.collect()) == [("p1", n) for n in [3, 4, 5, 10, 11, 12, 13, 14, 15]]
-    assert mainbody.main_lines(mainbody.web_pages(par.limit(0), doc)).count() == 0
+    web = mainbody.web_pages(par, doc)
+    fitted = mainbody.fit_pages(web)
+    want = mainbody.fit([*pages, PAGE, PAGE])
+    assert (fitted.words, fitted.contexts) == (want.words, want.contexts)
+    got = mainbody.main_lines(web, fitted)
+    assert sorted((r.paragraph_id, r.line_no) for r in got.where("paragraph_id < 'q'").collect()) == [("p1", n) for n in BODY]
+    none = mainbody.web_pages(par.limit(0), doc)
+    assert mainbody.main_lines(none, mainbody.fit_pages(none)).count() == 0
 
 
 WORDS = {
