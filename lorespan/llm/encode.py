@@ -33,11 +33,11 @@ TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
 #: Fixed value: the pattern that cuts text into words before the merges of this vocabulary.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words of one recursive query, by their bytes; a longer word is a query of its own.
+#: Words and pieces of one recursive query, by their bytes; a longer one is a query of its own.
 QUERY_BYTES = 400_000
 CACHE_WORDS = 300_000
-#: Position bits of the packed key; a word of more bytes than that is contracted by the plain merge loop.
-POS_BITS = 20
+#: Bytes by which pieces of long words follow each other, and by which each reaches into the next.
+PIECE, OVERLAP = 48, 24
 
 _CONTRACT = f"""
 with recursive step(n, w, pos, id) as (
@@ -93,6 +93,7 @@ class Encoder:
         self.merges = pa.table({"pair": (left << 20) | right, "rank_id": (np.arange(len(pairs), dtype=np.int64) << 20) | merged})
         letters = {x: b for b, x in enumerate(byte_letters())}
         self.token_bytes = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if all(c in letters for c in t)}
+        self.token_len = {i: len(b) for i, b in self.token_bytes.items()}
         self.words = regex.compile(WORD_PATTERN)
         self.db = duckdb.connect(":memory:")
         self.db.execute("set threads = 1")
@@ -104,49 +105,75 @@ class Encoder:
     def contract(self, words: list[str]) -> list[tuple[int, ...]]:
         """The ids of each of the distinct words."""
         raw = [w.encode("utf-8") for w in words]
-        out: list[tuple[int, ...] | None] = [None] * len(words)
+        long = [i for i, x in enumerate(raw) if len(x) > PIECE + OVERLAP]
+        out = self._contract([x if len(x) <= PIECE + OVERLAP else b"" for x in raw])
+        for i, ids in zip(long, self._joined([raw[i] for i in long]), strict=True):
+            out[i] = ids
+        return out
+
+    def _contract(self, raw: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of byte strings, by the recursive query."""
+        out: list[tuple[int, ...]] = [()] * len(raw)
         at = 0
-        while at < len(words):
+        while at < len(raw):
             end, size = at, 0
-            while end < len(words) and (end == at or size + len(raw[end]) <= QUERY_BYTES):
+            while end < len(raw) and (end == at or size + len(raw[end]) <= QUERY_BYTES):
                 size += len(raw[end])
                 end += 1
-            if size >= 1 << POS_BITS:
-                out[at] = self._long(raw[at])
-            else:
-                lens = np.fromiter((len(x) for x in raw[at:end]), dtype=np.int64, count=end - at)
-                word = np.repeat(np.arange(end - at, dtype=np.int32), lens)
-                pos = np.arange(size, dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
-                ids = self.byte_id[np.frombuffer(b"".join(raw[at:end]), dtype=np.uint8)]
-                self.db.register("word_rows", pa.table({"w": word, "pos": pos.astype(np.int32), "id": ids}))
-                got = self.db.execute(_CONTRACT).fetchnumpy()
-                for w, x in zip(got["w"].tolist(), got["ids"], strict=True):
-                    out[at + w] = tuple(int(i) for i in x)
-                self.db.unregister("word_rows")
+            lens = np.fromiter((len(x) for x in raw[at:end]), dtype=np.int64, count=end - at)
+            word = np.repeat(np.arange(end - at, dtype=np.int32), lens)
+            pos = np.arange(size, dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
+            ids = self.byte_id[np.frombuffer(b"".join(raw[at:end]), dtype=np.uint8)]
+            self.db.register("word_rows", pa.table({"w": word, "pos": pos.astype(np.int32), "id": ids}))
+            got = self.db.execute(_CONTRACT).fetchnumpy()
+            for w, x in zip(got["w"].tolist(), got["ids"], strict=True):
+                out[at + w] = tuple(x.tolist())
+            self.db.unregister("word_rows")
             at = end
-        return out  # type: ignore[return-value]
-
-    def _long(self, raw: bytes) -> tuple[int, ...]:
-        """The same contraction for a word of over a million bytes: a heap of pairs over a linked list."""
-        import heapq
-
-        table = dict(zip(self.merges["pair"].to_pylist(), self.merges["rank_id"].to_pylist(), strict=True))
-        ids = self.byte_id[np.frombuffer(raw, dtype=np.uint8)].tolist()
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(table[k] >> 20, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (k := (ids[i] << 20) | ids[i + 1]) in table]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] >= 0 else len(ids)
-            if j >= len(ids) or ids[i] != a or ids[j] != b:
+        return out
+
+    def _joined(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of long byte strings, from those of overlapping pieces."""
+        spans = [[(s, min(s + PIECE + OVERLAP, len(x))) for s in range(0, len(x) - OVERLAP, PIECE)] for x in words]
+        done: dict[bytes, list[int]] = {}
+        while True:
+            new = list({x[a:b]: None for x, of in zip(words, spans, strict=True) for a, b in of if x[a:b] not in done})
+            done.update(zip(new, self._contract(new), strict=True))
+            out, apart = [], False
+            for i, (x, of) in enumerate(zip(words, spans, strict=True)):
+                ids, again = self._join(x, of, done)
+                apart |= bool(again)
+                out.append(ids)
+                if again:
+                    spans[i] = again
+            if not apart:
+                return out
+
+    def _join(self, word: bytes, spans: list[tuple[int, int]], done: dict[bytes, list[int]]) -> tuple[tuple[int, ...], list[tuple[int, int]]]:
+        """The word's ids; or, where neighbouring pieces agree on no token, the pieces to be contracted instead."""
+        out: list[int] = []
+        merged: list[tuple[int, int]] = []
+        held: list[tuple[int, int, int]] = []  # tokens not yet given: start, end, id
+        for k, (a, b) in enumerate(spans):
+            tokens, at = [], a
+            for t in done[word[a:b]]:
+                tokens.append((at, at + self.token_len[t], t))
+                at = tokens[-1][1]
+            if k == 0:
+                held = tokens
+                merged.append((a, b))
                 continue
-            ids[i], ids[j], after[i] = table[(a << 20) | b] & 1048575, -1, after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < len(ids) and (k := (ids[x] << 20) | ids[y]) in table:
-                    heapq.heappush(heap, (table[k] >> 20, x, ids[x], ids[y]))
-        return tuple(i for i in ids if i >= 0)
+            before = {s: (e, n) for n, (s, e, _) in enumerate(held) if s >= a}
+            found = next(((n, before[s][1]) for n, (s, e, _) in enumerate(tokens) if s in before and before[s][0] == e), None)
+            if found is None:
+                merged[-1] = (merged[-1][0], b)
+                held = tokens
+                continue
+            merged.append((a, b))
+            out += [t for _, _, t in held[: found[1]]]
+            held = tokens[found[0] :]
+        out += [t for _, _, t in held]
+        return tuple(out), (merged if len(merged) < len(spans) else [])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.words.findall(t) if t else [] for t in texts]
@@ -155,7 +182,11 @@ class Encoder:
             self.cache.clear()
             new = list(dict.fromkeys(w for ws in cut for w in ws))
         self.cache.update(zip(new, self.contract(new), strict=True))
-        return [np.fromiter(chain.from_iterable(self.cache[w] for w in ws), dtype=np.int32) for ws in cut]
+        lists = [np.fromiter(chain.from_iterable(self.cache[w] for w in ws), dtype=np.int32) for ws in cut]
+        for w in new:
+            if len(w) > PIECE:  # the cache is bounded by its number of short words
+                del self.cache[w]
+        return lists
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of id lists: the tokens' bytes are joined in order of position."""

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -40,8 +41,29 @@ def test_long_words_and_small_batches(library, monkeypatch):
     coder = encode.Encoder(TOKENIZER_FILE)
     texts = [t for t in TEXTS if t]
     assert [x.tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
-    word = "supercalifragilistic" * 20
-    assert coder._long(word.encode()) == coder.contract([word])[0]
+
+
+@pytest.mark.parametrize("size", [10_000, 100_000, 2_000_000])
+def test_words_of_any_length_by_the_recursive_query(library, size):
+    rng = random.Random(7)
+    coder = encode.Encoder(TOKENIZER_FILE)
+    words = ["supercalifragilistic" * (size // 20), "a" * size]
+    if size <= 100_000:
+        words += ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(size // 3)), "".join(rng.choices("etaoinshrdlucm", k=size))]
+    began = time.time()
+    got = [x.tolist() for x in coder.encode(words)]
+    assert time.time() - began < 60
+    assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_pieces_that_agree_on_no_token_are_contracted_as_one(library, monkeypatch):
+    monkeypatch.setattr(encode, "PIECE", 3)
+    monkeypatch.setattr(encode, "OVERLAP", 2)
+    coder = encode.Encoder(TOKENIZER_FILE)
+    rng = random.Random(8)
+    words = ["internationalisation", "会议助手恢复每日报表", *("".join(rng.choices("abcdeéß会議", k=rng.randint(1, 40))) for _ in range(300))]
+    for w in words:
+        assert coder.encode([w])[0].tolist() == library.encode(w, add_special_tokens=False).ids
 
 
 def _bins(placed):
