@@ -6,9 +6,10 @@ verify them (one byte of each minimum is kept, so the estimate has a standard er
 threshold is five of these), and at last the exact similarity. Groups are connected components by alternating large-star
 and small-star.
 
-A bucket of up to SMALL_BUCKET texts lists its pairs. A larger one is cut into chunks by hash, and each pair of chunks is
-compared by signature in a task of its own, so that only verified pairs leave it: no bucket is capped, and none is held
-by one task. At similarity 0.7 a pair meets in some band with a probability of 0.998, at 0.8 of 0.9999997.
+Bands are shuffled once, as keys and row numbers: a task reads its keys in order and holds no more of a bucket than a
+batch and SMALL_BUCKET rows. A bucket of up to SMALL_BUCKET texts lists its pairs. A larger one is cut into chunks, and each
+pair of chunks is compared by signature in a task of its own, so that only verified pairs leave it: no bucket is capped, and
+none is held by one task. At similarity 0.7 a pair meets in some band with a probability of 0.998, at 0.8 of 0.9999997.
 
 Defined results: null ids and null texts take part in nothing; a record delivered again counts once; texts outside the
 length limits, empty ones among them, have no pairs; equal texts under different ids have similarity 1. Substrings are
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.session import materialize, spread
+from lorespan.session import materialize, n_tasks, spread
 
 CHARS = 5
 ROWS, BANDS = 6, 50
@@ -32,18 +33,19 @@ HASHES = ROWS * BANDS
 MARGIN = 0.14
 SMALL_BUCKET = 48
 CHUNK = 256
+SALTS = 16
 _SEED = 20250101
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
-    """Multiply-add-shift functions of 64 bits, of which the upper 32 are the hash."""
+    """Multiply-add functions of 32 bits, each a permutation."""
     rng = np.random.default_rng(_SEED)
-    a = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+    a = rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return a, rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
 def shingle_hashes(text: str, chars: int = CHARS) -> np.ndarray:
-    """Distinct 64-bit hashes of the text's substrings of that many code points."""
+    """64-bit hashes of the text's substrings of that many code points, in order of place."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     n = len(codes) - chars + 1
     if n <= 0:
@@ -53,15 +55,18 @@ def shingle_hashes(text: str, chars: int = CHARS) -> np.ndarray:
         h = (h * np.uint64(1_099_511_628_211)) ^ (codes[i : i + n] + np.uint64(0x9E3779B97F4A7C15))
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(h)
+    return h
 
 
 def signature(text: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = shingle_hashes(text)
-    out = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(x), 2048):
-        np.minimum(out, (a[:, None] * x[None, at : at + 2048] + b[:, None]).min(axis=1), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    """The minimum of each function over the text's substrings; repeated ones don't matter to it."""
+    x = (shingle_hashes(text) >> np.uint64(32)).astype(np.uint32)
+    out = np.full(HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(x), 512):
+        y = np.multiply(x[at : at + 512, None], a[None, :])
+        y += b
+        np.minimum(out, y.min(axis=0), out=out)
+    return out
 
 
 def jaccard(a: str, b: str, chars: int = CHARS) -> float:
@@ -75,14 +80,16 @@ def _sign(texts: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _functions()
         mix = np.random.default_rng(_SEED + 1).integers(0, 1 << 62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        number = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         for f in frames:
             bands, sketches = [], []
             for text in f["content"]:
                 s = signature(text, a, b)
                 v = s.reshape(BANDS, ROWS).astype(np.uint64) * mix
                 v ^= v >> np.uint64(31)
-                bands.append((v * mix[::-1]).sum(axis=1, dtype=np.uint64).view(np.int64))
-                sketches.append((s & np.uint32(255)).astype(np.uint8).tobytes())
+                # the band's number is part of its key
+                bands.append(((v * mix[::-1]).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number).view(np.int64))
+                sketches.append((s >> np.uint32(24)).astype(np.uint8).tobytes())
             yield pd.DataFrame({"rid": f["rid"], "bands": bands, "sketch": sketches})
 
     return texts.mapInPandas(run, "rid long, bands array<long>, sketch binary")
@@ -98,15 +105,57 @@ def _sketches(col: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(col), dtype=np.uint8).reshape(len(col), HASHES)
 
 
+class Buckets:
+    """Reads (key, row) in order of key; gives pairs of rows of small buckets, and the rows of large ones with their chunk."""
+
+    def __init__(self) -> None:
+        self.h = self.r = np.zeros(0, dtype=np.int64)
+        self.large, self.seen = None, 0  # the large bucket that is being read, and how many of its rows were
+
+    def feed(self, h: np.ndarray, r: np.ndarray, last: bool) -> Iterator[pd.DataFrame]:
+        h, r = np.concatenate([self.h, h]), np.concatenate([self.r, r])
+        if not len(h):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.append(starts, len(h)))
+        if not last and sizes[-1] <= SMALL_BUCKET and h[-1] != self.large:
+            self.h, self.r = h[starts[-1] :], r[starts[-1] :]  # may go on in the next batch
+            starts, sizes = starts[:-1], sizes[:-1]
+            h, r = h[: len(h) - len(self.h)], r[: len(r) - len(self.r)]
+        else:
+            self.h = self.r = np.zeros(0, dtype=np.int64)
+        size = np.repeat(sizes, sizes)
+        big = (size > SMALL_BUCKET) | (h == self.large) if self.large is not None else size > SMALL_BUCKET
+        x, y = h[~big], r[~big]
+        a, b = [], []
+        for step in range(1, SMALL_BUCKET):
+            same = np.flatnonzero(x[:-step] == x[step:])
+            if not len(same):
+                break
+            a.append(y[same])
+            b.append(y[same + step])
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "h": None, "chunk": None})
+        for s, n in zip(starts[big[starts]], sizes[big[starts]], strict=True):
+            if h[s] != self.large:
+                self.large, self.seen = h[s], 0
+            yield pd.DataFrame({"a": r[s : s + n], "b": None, "h": h[s], "chunk": (self.seen + np.arange(n)) // CHUNK})
+            self.seen += n
+
+
 def _candidates(signed: DataFrame, least: float) -> DataFrame:
     """Verified candidate pairs a < b of rids."""
-    rows = signed.select("rid", F.posexplode("bands").alias("band", "h"))
-    sizes = rows.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = materialize(sizes, "dup-buckets")
-    few = sizes.where(F.col("n") <= SMALL_BUCKET).select("band", "h")
-    small = rows.join(few, ["band", "h"]).groupBy("band", "h").agg(F.array_sort(F.collect_list("rid")).alias("r"))
-    nested = F.flatten(F.transform("r", lambda x, i: F.transform(F.slice("r", i + F.lit(2), F.lit(SMALL_BUCKET)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = small.select(F.explode(nested).alias("p")).select("p.a", "p.b").distinct()
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buckets = Buckets()
+        for f in frames:
+            yield from buckets.feed(f["h"].to_numpy(), f["rid"].to_numpy(), False)
+        yield from buckets.feed(*np.zeros((2, 0), dtype=np.int64), True)
+
+    keys = signed.select(F.explode("bands").alias("h"), "rid").repartition(n_tasks(signed.sparkSession), "h").sortWithinPartitions("h")
+    met = materialize(keys.mapInPandas(read, "a long, b long, h long, chunk long"), "dup-buckets")
+    pairs = met.where("b is not null").select("a", "b").distinct()
     left = signed.select(F.col("rid").alias("a"), F.col("sketch").alias("x"))
     right = signed.select(F.col("rid").alias("b"), F.col("sketch").alias("y"))
 
@@ -116,14 +165,13 @@ def _candidates(signed: DataFrame, least: float) -> DataFrame:
                 yield f.loc[_alike(_sketches(f["x"]), _sketches(f["y"]), least), ["a", "b"]]
 
     out = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
-    large = sizes.where(F.col("n") > SMALL_BUCKET)
-    if large.isEmpty():
+    in_large = met.where("chunk is not null").select(F.col("a").alias("rid"), "h", "chunk")
+    if in_large.isEmpty():
         return out
-    chunks = F.ceil(F.col("n") / CHUNK)
-    in_large = rows.join(large.select("band", "h", chunks.alias("k")), ["band", "h"])
-    in_large = in_large.withColumn("c", F.pmod(F.xxhash64("rid"), F.col("k")))
-    tasks = in_large.select("band", "h", "rid", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
-    tasks = tasks.select("rid", "band", "h", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c").join(signed.select("rid", "sketch"), "rid")
+    # each chunk meets itself and every other one
+    counts = in_large.groupBy("h").agg(F.max("chunk").alias("last"))
+    tasks = in_large.join(counts, "h").select("rid", "h", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("o"))
+    tasks = tasks.select("rid", "h", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), F.col("chunk").alias("c")).join(signed.select("rid", "sketch"), "rid")
 
     def blocks(f: pd.DataFrame) -> pd.DataFrame:
         i, j = f["i"].iloc[0], f["j"].iloc[0]
@@ -135,7 +183,7 @@ def _candidates(signed: DataFrame, least: float) -> DataFrame:
             found += [(min(r, o), max(r, o)) for o in hit if (r < o if i == j else r != o)]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return out.unionByName(tasks.groupBy("band", "h", "i", "j").applyInPandas(blocks, "a long, b long")).distinct()
+    return out.unionByName(tasks.groupBy("h", "i", "j").applyInPandas(blocks, "a long, b long")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float, least_chars: int, most_chars: int) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +211,11 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     one = members.select(F.col("rid").alias("a"), F.col("id").alias("i"))
     two = members.select(F.col("rid").alias("b"), F.col("id").alias("j"))
     between = links.select("a", "b").join(one, "a").join(two, "b").select("i", "j")
-    within = one.join(two, (one.a == two.b) & (one.i < two.j)).select("i", "j")
+    # a text may have very many copies: their ids are salted on one side, and repeated for each salt on the other
+    copied = members.join(members.groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select("rid"), "rid")
+    left = copied.select("rid", F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    right = copied.select("rid", F.col("id").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    within = left.join(right, ["rid", "salt"]).where("i < j").select("i", "j")
     return between.unionByName(within).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
 
 
@@ -195,3 +247,15 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     rooted = members.join(roots, "rid", "left").join(degree, "rid", "left").select("id", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     names = rooted.groupBy("root").agg(F.min("id").alias("group_id"))
     return rooted.join(names, "root").select("id", "group_id", "n_links")
+
+
+def classes(members: DataFrame) -> DataFrame:
+    """id, class_id of every record in the length limits: the least id with an equal text stands for all of these."""
+    return members.join(members.groupBy("rid").agg(F.min("id").alias("class_id")), "rid").select("id", "class_id")
+
+
+def class_links(members: DataFrame, links: DataFrame) -> DataFrame:
+    """class_a < class_b, similarity of the linked texts, by the ids that stand for them."""
+    names = members.groupBy("rid").agg(F.min("id").alias("name"))
+    both = links.join(names.select(F.col("rid").alias("a"), F.col("name").alias("x")), "a").join(names.select(F.col("rid").alias("b"), F.col("name").alias("y")), "b")
+    return both.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), "similarity")

@@ -43,6 +43,14 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(*neardup.near_duplicates(table(spark, sf_dir, "paragraph"), "id", "content", **NEAR_DUPLICATE))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(neardup.near_duplicates(table(spark, sf_dir, "paragraph"), "id", "content", **NEAR_DUPLICATE)[0])
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.class_links(*neardup.near_duplicates(table(spark, sf_dir, "paragraph"), "id", "content", **NEAR_DUPLICATE))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.pairs(knn.neighbours(table(spark, sf_dir, "embedding")))
 
@@ -103,6 +111,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_lines": p3_lines,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
+        "p4_classes": p4_classes,
+        "p4_links": p4_links,
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
@@ -116,6 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_classes": """
+            select distinct p.id, min(p.id) over (partition by p.content) as class_id
+            from paragraph p where p.id is not null and length(p.content) between 300 and 3000""",
         "p6_found": """
             with item as (
                 select 'paragraph' as item_table, id as item_id, 0 as item_no, title, content from paragraph

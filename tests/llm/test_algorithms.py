@@ -167,12 +167,37 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small_bucket):
     want = {(f"i{a:03}", f"i{b:03}") for a in range(len(texts)) for b in range(a + 1, len(texts)) if neardup.jaccard(texts[a], texts[b]) >= 0.7}
     got = [tuple(r) for r in neardup.all_pairs(members, links).collect()]
     assert len(got) == len(set(got)) and len(want - set(got)) <= 0.01 * len(want) and not set(got) - want
+    stands = {r.id: r.class_id for r in neardup.classes(members).collect()}
+    assert stands == {f"i{n:03}": min(f"i{m:03}" for m, o in enumerate(texts) if o == t) for n, t in enumerate(texts)}
+    assert {(r.class_a, r.class_b) for r in neardup.class_links(members, links).collect()} == {tuple(sorted((stands[a], stands[b]))) for a, b in got if stands[a] != stands[b]}
     root = {r.id: r.group_id for r in neardup.groups(members, links).collect()}
     assert sorted(root) == [f"i{n:03}" for n in range(len(texts))] and all(root[a] == root[b] for a, b in got)
     empty = neardup.near_duplicates(df.limit(0), "id", "content", 0.7, 300, 3000)
     assert neardup.all_pairs(*empty).count() == 0 and neardup.groups(*empty).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1, 3, 7, 1000])
+def test_buckets_over_batches(monkeypatch, batch):
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(neardup, "CHUNK", 3)
+    rng = random.Random(9)
+    sizes = [1, 2, 4, 5, 9, 1, 12, 4, 3]
+    h = np.array([k for k, n in enumerate(sizes) for _ in range(n)], dtype=np.int64)
+    r = np.array(rng.sample(range(1000), len(h)), dtype=np.int64)
+    buckets, pairs, large = neardup.Buckets(), set(), []
+    parts = [(h[i : i + batch], r[i : i + batch], False) for i in range(0, len(h), batch)] + [(h[:0], r[:0], True)]
+    for part in parts:
+        for f in buckets.feed(*part):
+            if f["b"].isna().all():
+                large += list(zip(f["h"], f["a"], f["chunk"], strict=True))
+            else:
+                assert not (set(zip(f["a"], f["b"], strict=True)) & pairs)
+                pairs |= set(zip(f["a"], f["b"], strict=True))
+    rows = {k: [x for y, x in zip(h, r, strict=True) if y == k] for k in range(len(sizes))}
+    assert pairs == {(min(a, b), max(a, b)) for k, v in rows.items() if len(v) <= 4 for i, a in enumerate(v) for b in v[:i]}
+    assert sorted(large) == sorted((k, x, i // 3) for k, v in rows.items() if len(v) > 4 for i, x in enumerate(v))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, k) for k in range(101, 140)] + [(200, 201)]
     got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -241,6 +266,6 @@ def test_hot_equal_vectors_of_few_sources_are_exact(spark):
 
 
 def test_shingles_are_of_code_points():
-    assert len(neardup.shingle_hashes("🙂🙂🙂🙂🙂a")) == 2 and len(neardup.shingle_hashes("abcd")) == 0
+    assert len(set(neardup.shingle_hashes("🙂🙂🙂🙂🙂a"))) == 2 and len(neardup.shingle_hashes("abcd")) == 0
     assert neardup.jaccard("abcdef", "abcdef") == 1 and neardup.jaccard("", "") == 0
     assert Counter(len(neardup.signature("x" * n, *neardup._functions())) for n in (5, 5000)) == {neardup.HASHES: 2}
