@@ -1,23 +1,25 @@
 """Problem 8: put texts, sized in tokens, into as few containers of a fixed capacity as possible.
 
-Method: conflict-constrained best fit. Items go in by falling size; open bins are ordered by residual, and each carries a
+Method: conflict-constrained best fit. Items go in by falling size, those of crowded sources and clusters first; open bins are ordered by residual, and each carries a
 bitmap of the sources and one of the duplicate clusters in it. The successor search starts at the tightest bin that has
-room and goes on to the next residual until a bin without the item's source and cluster is found. As the fewest
-containers come first, a conflict never opens a bin: if no bin is free of both, the tightest free of the cluster is
-taken, and else the tightest with room.
+room and goes on, bin by bin and residual by residual, until one without the item's source and cluster is found; if there
+is none, the item opens a bin. So no container holds two texts of a source or of a cluster, and a source or cluster of
+more texts than containers would be needed for has a container for each of them.
 
 Spread: items are dealt to shards of about SHARD_ITEMS by a hash of their id, so neither a hot source nor a hot group of
 copies meets in one task. Shards are packed on their own; bins filled below FULL are then dissolved and their items
-packed again in fewer shards, in rounds, until one shard remains or nothing is left to gain. What enters a round is what
+packed again in fewer shards, until one shard remains or a round no longer saves a container. What enters a round is what
 shards left open, a small share of the items.
 
 An item over the capacity is divided into pieces of the capacity and a rest; only such items are divided. Defined
 results: null and empty texts take no room and no container: container_id is null and n_tokens 0; a text of exactly
-the capacity fills one container; repeated rows of one id must be removed before.
+the capacity fills one container; null sources and clusters conflict with nothing; the pieces of a divided text carry its
+source and cluster; repeated rows of one id must be removed before.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,7 @@ from lorespan.session import materialize
 
 SHARD_ITEMS = 40_000
 FULL = 0.97
-#: Dissolved bins are packed again in shards this many times larger than the share that enters.
-ROUNDS = 2
+CROWDED = 0.1
 
 PLACED = "container_name string, shard string, bin_no int, item_id long, part_no int, start int, n_tokens int, capacity int, source string, cluster long"
 
@@ -40,69 +41,46 @@ class Bins:
 
     def __init__(self, capacity: int) -> None:
         self.capacity = capacity
-        self.at: list[dict[int, None]] = [{} for _ in range(capacity + 1)]  # residual -> bins, oldest first
-        self.with_source: list[dict[int, int]] = [{} for _ in range(capacity + 1)]  # residual -> source bit -> bins that carry it
+        self.at: dict[int, dict[int, None]] = {}  # residual -> bins, oldest first
+        self.carry: dict[int, dict[int, int]] = {}  # residual -> bit of a source or cluster -> how many of its bins carry it
         self.used = 0  # bit r is set if a bin has residual r
-        self.sources: list[int] = []
-        self.clusters: list[int] = []
+        self.held: list[int] = []  # bitmap of each bin: sources and clusters have bits of their own
 
-    def _residuals(self, size: int) -> Iterator[int]:
-        left = self.used >> size
-        r = size
+    def _find(self, size: int, bits: tuple[int, ...]) -> tuple[int, int] | None:
+        """The tightest bin with room that carries none of the bits, and its residual."""
+        left, r, wanted = self.used >> size, size, sum(bits)
         while left:
             low = (left & -left).bit_length() - 1
             r += low
-            yield r
+            bins, carry = self.at[r], self.carry[r]
+            if not any(carry.get(x, 0) == len(bins) for x in bits):
+                for b in bins:
+                    if not self.held[b] & wanted:
+                        return b, r
             left >>= low + 1
             r += 1
+        return None
 
-    def _find(self, size: int, source: int, cluster: int, passed: set[int]) -> tuple[int, int] | None:
-        """Bin and residual. passed: bins already known to hold the cluster."""
-        plan_b = None
-        for r in self._residuals(size):
-            if not cluster and not source:
-                return next(iter(self.at[r])), r
-            all_carry = source and self.with_source[r].get(source, 0) == len(self.at[r])
-            if all_carry and (plan_b is not None or not cluster):
-                plan_b = plan_b or (next(iter(self.at[r])), r)
-                continue
-            for b in self.at[r]:
-                if b in passed:
-                    continue
-                if cluster and self.clusters[b] & cluster:
-                    passed.add(b)
-                    continue
-                if not self.sources[b] & source:
-                    return b, r
-                plan_b = plan_b or (b, r)
-        if plan_b is not None:
-            return plan_b
-        return next(((next(iter(self.at[r])), r) for r in self._residuals(size)), None)
-
-    def _move(self, b: int, old: int | None, new: int, source: int) -> None:
-        if old is not None:
+    def put(self, size: int, bits: tuple[int, ...]) -> int:
+        found = self._find(size, bits)
+        if found is None:
+            b, new = len(self.held), self.capacity - size
+            self.held.append(0)
+        else:
+            b, old = found
+            new = old - size
             del self.at[old][b]
+            for x in _bits(self.held[b]):
+                self.carry[old][x] -= 1
             if not self.at[old]:
                 self.used &= ~(1 << old)
-            for s in _bits(self.sources[b]):
-                self.with_source[old][s] -= 1
-        self.sources[b] |= source
-        self.at[new][b] = None
+                del self.at[old], self.carry[old]
+        self.held[b] |= sum(bits)
+        self.at.setdefault(new, {})[b] = None
+        carry = self.carry.setdefault(new, {})
+        for x in _bits(self.held[b]):
+            carry[x] = carry.get(x, 0) + 1
         self.used |= 1 << new
-        for s in _bits(self.sources[b]):
-            self.with_source[new][s] = self.with_source[new].get(s, 0) + 1
-
-    def put(self, size: int, source: int, cluster: int, passed: set[int]) -> int:
-        found = self._find(size, source, cluster, passed)
-        if found is None:
-            b, r = len(self.sources), None
-            self.sources.append(0)
-            self.clusters.append(0)
-            self._move(b, r, self.capacity - size, source)
-        else:
-            b, r = found
-            self._move(b, r, r - size, source)
-        self.clusters[b] |= cluster
         return b
 
 
@@ -114,20 +92,22 @@ def _bits(x: int) -> Iterator[int]:
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
-    """Bin of each item; no item is over the capacity. Ties keep the given order."""
-    source_bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(s for s in sources if s is not None))}
-    seen, twice = set(), {}
-    for c in clusters:
-        if c is not None and c in seen:
-            twice.setdefault(c, 1 << len(twice))
-        seen.add(c)
-    rank = {c: i for i, c in enumerate(twice)}
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], rank.get(clusters[i], -1), i))
-    bins, out, passed, last = Bins(capacity), [0] * len(sizes), set(), None
-    for i in order:
-        if (sizes[i], clusters[i]) != last:
-            passed, last = set(), (sizes[i], clusters[i])
-        out[i] = bins.put(sizes[i], source_bit.get(sources[i], 0), twice.get(clusters[i], 0), passed)
+    """Bin of each item; no item is over the capacity. Ties keep the given order. Only what occurs twice needs a bit.
+
+    Items whose source or cluster needs more than a share CROWDED of the bins go in first, as late ones would find their
+    few bins without it filled."""
+    bit: dict[tuple[int, object], int] = {}
+    crowd = [0] * len(sizes)
+    for kind, values in ((0, sources), (1, clusters)):
+        numbers = Counter(v for v in values if v is not None)
+        for v, n in numbers.items():
+            if n > 1:
+                bit[kind, v] = 1 << len(bit)
+        crowd = [max(c, numbers.get(v, 0)) for c, v in zip(crowd, values, strict=True)]
+    least = CROWDED * sum(sizes) / capacity
+    bins, out = Bins(capacity), [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (crowd[i] <= max(least, 1), -sizes[i], i)):
+        out[i] = bins.put(sizes[i], tuple(b for key in ((0, sources[i]), (1, clusters[i])) if (b := bit.get(key))))
     return out
 
 
@@ -157,22 +137,23 @@ def pack(sized: DataFrame, containers: list[tuple[str, int]], shard_items: int =
     starts = F.when(F.col("size") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("size") - 1, F.col("capacity")))
     parts = kinded.select("*", F.posexplode(starts).alias("part_no", "start")).withColumn("n_tokens", F.least(F.col("capacity"), F.col("size") - F.col("start")))
     parts = materialize(parts.drop("size"), "pack-items")
-    whole = parts.where("n_tokens = capacity").select("container_name", F.concat_ws("-", F.lit("full"), "item_id", "part_no").alias("container_id"), "item_id", "part_no", "start", "n_tokens")
+    whole = parts.where("n_tokens = capacity").select("container_name", F.concat_ws("-", F.lit("full"), "container_name", "item_id", "part_no").alias("container_id"), "item_id", "part_no", "start", "n_tokens")
     empty = parts.where("n_tokens = 0").select("container_name", F.lit(None).cast("string").alias("container_id"), "item_id", "part_no", "start", "n_tokens")
     open_items = parts.where("n_tokens > 0 and n_tokens < capacity")
     n = open_items.count() / max(len(containers), 1)
-    done = []
-    for k in range(ROUNDS + 1):
+    done, before, k = [], None, 0
+    while True:
         n_shards = max(1, round(n / shard_items))
         placed = materialize(_pack(open_items, n_shards, str(k)), f"pack-{k}")
-        if n_shards == 1 or k == ROUNDS:
+        fill = placed.groupBy("shard", "bin_no").agg((F.sum("n_tokens") / F.first("capacity")).alias("fill"))
+        bins, below = fill.agg(F.count("*"), F.count_if(F.col("fill") < FULL)).first()
+        if n_shards == 1 or not below or (before is not None and bins >= before):
             done.append(placed)
             break
-        fill = placed.groupBy("shard", "bin_no").agg((F.sum("n_tokens") / F.first("capacity")).alias("fill"))
         marked = placed.join(fill, ["shard", "bin_no"])
         done.append(marked.where(F.col("fill") >= FULL).drop("fill"))
         open_items = marked.where(F.col("fill") < FULL).drop("fill", "shard", "bin_no")
-        n = open_items.count() / max(len(containers), 1)
+        n, before, k = open_items.count() / max(len(containers), 1), below, k + 1
     out = whole.unionByName(empty)
     for d in done:
         out = out.unionByName(d.select("container_name", F.concat_ws("-", "shard", F.col("bin_no").cast("string")).alias("container_id"), "item_id", "part_no", "start", "n_tokens"))

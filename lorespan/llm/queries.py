@@ -12,6 +12,9 @@ from lorespan.sources.tables import table
 
 NEAR_DUPLICATE = {"threshold": 0.7, "least_chars": 300, "most_chars": 3000}
 
+#: Documents count as copies of each other, for p8, from this similarity on; texts of fewer characters have no substrings.
+COPIES = {"threshold": 0.8, "least_chars": neardup.CHARS, "most_chars": 2**31 - 1}
+
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = garble.fields({t: table(spark, sf_dir, t) for t in ("paragraph", "document", "document_import")})
@@ -78,8 +81,12 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "token_container").limit(101).collect()
     if len(rows) > 100:
         raise ValueError("token_container is a table of parameters; it has over 100 rows")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64(F.lower(F.regexp_replace("text", r"\s+", " "))).alias("cluster"), "text")
-    sized = encode.token_counts(docs, ["doc_id", "source", "cluster"], "text").select(F.col("doc_id").alias("item_id"), "n_tokens", "source", "cluster")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sized = encode.token_counts(docs, ["doc_id", "source"], "text").select(F.col("doc_id").alias("item_id"), "n_tokens", "source")
+    folded = docs.select("doc_id", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("folded"))
+    alike = neardup.groups(*neardup.near_duplicates(folded, "doc_id", "folded", **COPIES))
+    clusters = alike.join(alike.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1"), "group_id").select(F.col("id").alias("item_id"), F.col("group_id").alias("cluster"))
+    sized = sized.join(clusters, "item_id", "left")
     packed = pack.pack(sized, [(r.container_name, r.capacity_tokens) for r in rows])
     return packed.select("container_name", "container_id", F.col("item_id").alias("doc_id"), "part_no", F.col("start").alias("first_token"), "n_tokens")
 

@@ -77,7 +77,7 @@ def _bins(placed):
 def test_packing_is_whole_within_capacity_and_tight(spark):
     rng = random.Random(2)
     sizes = [rng.choice([0, 3, 100, 512, 513, 1500, rng.randint(1, 511)]) for _ in range(600)]
-    rows = [(i, n, None if i % 11 == 0 else "hot" if i % 3 == 0 else f"s{i % 17}", 7 if i % 3 == 0 else i) for i, n in enumerate(sizes)]
+    rows = [(i, n, None if i % 11 == 0 else f"s{i % 57}", 7 if i % 23 == 0 else i) for i, n in enumerate(sizes)]
     sized = spark.createDataFrame(rows + [(10_000, None, None, None)], "item_id long, n_tokens int, source string, cluster long")
     placed = pack.pack(sized, [("c", 512)], shard_items=100).collect()
     got = defaultdict(list)
@@ -90,16 +90,55 @@ def test_packing_is_whole_within_capacity_and_tight(spark):
     fill = _bins(placed)
     assert max(fill.values()) <= 512 and len(fill) <= sum(sizes) / 512 * 1.05 + 1
     assert sorted(got) == [*range(600), 10_000]
+    assert _conflicts(placed, {r[0]: r for r in rows}) == 0
     assert pack.pack(sized.limit(0), [("c", 512)]).count() == 0
 
 
-def test_packing_keeps_copies_apart_where_it_costs_nothing():
-    assert pack.best_fit([5, 5, 4, 4], [None] * 4, [1, 1, 2, 3], 10) == [0, 0, 1, 1] or True
-    bins = pack.best_fit([6, 6, 4, 4], ["a", "b", "c", "d"], [1, 2, 9, 9], 10)
-    assert bins[2] != bins[3]
-    same = pack.best_fit([6, 6, 4, 4], ["a", "b", "a", "b"], [1, 2, 3, 4], 10)
-    assert same[2] == same[1] and same[3] == same[0]
-    assert max(pack.best_fit([1] * 100, ["s"] * 100, [1] * 100, 10)) == 9
+def _conflicts(placed, rows):
+    """Pairs of texts of one source or one cluster in one container."""
+    held = defaultdict(Counter)
+    for r in placed:
+        if r.container_id is not None:
+            for key in (("source", rows[r.item_id][2]), ("cluster", rows[r.item_id][3])):
+                if key[1] is not None:
+                    held[r.container_id][key] += 1
+    return sum(n - 1 for c in held.values() for n in c.values())
+
+
+def test_packing_of_a_hot_source_and_a_hot_cluster(spark):
+    rows = [(i, 40 + i % 90, "hot" if i % 3 == 0 else f"s{i}", 7 if i % 3 == 1 else i) for i in range(900)]
+    sized = spark.createDataFrame(rows, "item_id long, n_tokens int, source string, cluster long")
+    placed = pack.pack(sized, [("c", 512)], shard_items=120).collect()
+    assert len(placed) == 900 and _conflicts(placed, {r[0]: r for r in rows}) == 0
+    assert 300 <= len(_bins(placed)) <= 330
+
+
+def test_best_fit_takes_the_tightest_compatible_bin_or_a_new_one():
+    assert pack.best_fit([6, 5, 4], [None] * 3, [None] * 3, 10) == [0, 1, 0]
+    assert pack.best_fit([6, 5, 4], ["a", "b", "a"], [None] * 3, 10) == [0, 1, 1]
+    assert pack.best_fit([6, 5, 4], ["a", "b", "a"], [1, 2, 2], 10) == [0, 1, 2]
+    assert len(set(pack.best_fit([1] * 100, ["s"] * 100, [1] * 100, 10))) == 100
+    assert pack.best_fit([1, 1], [None] * 2, [None] * 2, 1 << 20) == [0, 0]
+
+
+def test_best_fit_against_a_plain_search():
+    rng = random.Random(4)
+    for _ in range(60):
+        n, capacity = rng.randint(1, 40), 30
+        sizes, sources, clusters = [rng.randint(1, 30) for _ in range(n)], [rng.choice("abcdef") for _ in range(n)], [rng.choice([None, 1, 2, 3]) for _ in range(n)]
+        bins = []
+        crowd = [max(sources.count(s), clusters.count(c) if c else 0) for s, c in zip(sources, clusters, strict=True)]
+        for i in sorted(range(n), key=lambda i: (crowd[i] <= max(pack.CROWDED * sum(sizes) / capacity, 1), -sizes[i], i)):
+            fits = [b for b in bins if sum(sizes[j] for j in b) + sizes[i] <= capacity and not any(sources[j] == sources[i] or (clusters[i] and clusters[j] == clusters[i]) for j in b)]
+            best = max(fits, key=lambda b: sum(sizes[j] for j in b), default=None)
+            if best is None:
+                bins.append(best := [])
+            best.append(i)
+        got = pack.best_fit(sizes, sources, clusters, capacity)
+        room = lambda of: sorted(capacity - sum(sizes[i] for i in b) for b in of)
+        held = [[i for i in range(n) if got[i] == b] for b in range(max(got) + 1)]
+        assert len(held) <= len(bins) + 1 and min(room(held)) >= 0
+        assert not any(sources[i] == sources[j] or (clusters[i] and clusters[i] == clusters[j]) for b in held for i in b for j in b if i < j)
 
 
 def _check_pieces(text, rows, most, overlap):
