@@ -3,7 +3,7 @@
 Method: language-bitmask n-gram filters. A Bloom filter is bit-sliced: each of its cells holds one bit per language, so
 one look-up of an n-gram's cells, and-ed, gives the set of all languages that know it. Per sentence, the bits are counted
 per language, corrected for the filter's false positives, and the largest share decides. N-grams are four characters of a
-word (with its borders), or two East Asian characters.
+word (with its borders), or two East Asian characters (kana, Han, Hangul).
 
 Filters are fitted on a bounded sample, FIT_DOCS documents of each label, the first by hash of the id; labels may be wrong,
 so an n-gram enters a language only if its rate there is at least RATE of its best rate, and the documents whose text
@@ -79,13 +79,13 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     """Class and lower-case form of each code point of the basic planes; others are spaces."""
     kind = np.zeros(0x30000, dtype=np.uint8)
     low = np.arange(0x30000, dtype=np.uint32)
-    for c in range(0x2000):
+    for c in range(0x30000):
         ch = chr(c)
         if ch.isalpha():
             kind[c] = _LETTER
             if len(ch.lower()) == 1:
                 low[c] = ord(ch.lower())
-    for a, b in ((0x2E80, 0x2FE0), (0x3005, 0x3008), (0x3040, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x30000)):
+    for a, b in ((0x2E80, 0x2FE0), (0x3005, 0x3008), (0x3040, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xF900, 0xFB00), (0x20000, 0x30000)):
         kind[a:b] = _WIDE
     low[kind == _SPACE] = 32
     return kind, low

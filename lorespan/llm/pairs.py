@@ -8,7 +8,7 @@ refusal: an automaton of refusing phrases finds the sentences that decline; the
 sentences are courtesies, or only restate the question's topic.
 language: votes of stopwords, letters and scripts for the question's and the answer's language differ clearly, and the
 question doesn't ask for another language.
-truncated: a stack of delimiters (code fences, brackets, quotes) isn't empty at the end, or the last line breaks off: prose
+truncated: a stack of delimiters (code fences; brackets and quotes of the whole answer) isn't empty at the end, or the last line breaks off: prose
 without an end, a list item without the end its siblings have, a table row without its border, a value without its
 decimals, or fewer list items than announced.
 
@@ -85,7 +85,9 @@ _END = re.compile(r"[.!?。！？…][\s*_~\"'»”’)）\]】」』>]*$|(?:\U0
 _URL = re.compile(r"https?://\S+$|www\.\S+$")
 _BULLET = re.compile(r"^\s*(?:[-*•+–]|(\d{1,3})[.)、])\s*(.*)$")
 _CUT_VALUE = re.compile(r"(?:^|[\s为到を])0[.,，]$|(?:version|versión|versão|версии|バージョン)\s*\d+[.,]$|[、，,;:：；(（\[「『“‘=/–—]$", re.I)
-_OPEN = {"(": ")", "（": "）", "[": "]", "「": "」", "『": "』", "“": "”", "【": "】", "{": "}"}
+_OPEN = {"(": ")", "（": "）", "[": "]", "「": "」", "『": "』", "“": "”", "„": "“", "«": "»", "【": "】", "{": "}"}
+_BRACKETS = set(")）]】}")
+_CODE = re.compile(r"```.*?(?:```|$)|`[^`\n]*`", re.S)
 
 
 def is_empty(answer: str | None) -> bool:
@@ -250,6 +252,8 @@ def is_truncated(answer: str) -> bool:
     fences = sum(line.lstrip().startswith("```") for line in lines)
     if fences % 2:
         return True
+    if open_delimiters(text):
+        return True
     last = lines[-1].strip()
     if last.startswith("```"):
         return False
@@ -262,8 +266,6 @@ def is_truncated(answer: str) -> bool:
         return len(rows) > 1 and last.count("|") != lines[rows[-2]].count("|") and rows[-2] == len(lines) - 2
     if re.fullmatch(r"(?:[-*•+]|\d{1,3}[.)、]?)", last):
         return len(lines) > 1
-    if _open_delimiters(last):
-        return True
     if _URL.search(last):
         return False
     if item := _BULLET.match(lines[-1]):
@@ -285,14 +287,25 @@ def is_truncated(answer: str) -> bool:
     return len(x) >= 2 and bool(re.search(r"\s", last) or re.search(r"[぀-鿿]{2}", last) or len(lines) > 1)
 
 
-def _open_delimiters(line: str) -> bool:
-    stack = []
-    for c in line:
-        if c in _OPEN:
-            stack.append(_OPEN[c])
-        elif stack and c == stack[-1]:
+def open_delimiters(text: str) -> list[str]:
+    """The closing marks still wanted at the end of a text, code left out. A mark that closes nothing is no delimiter, nor
+    is one after a digit that may be a unit. A blank line ends what quotes are open, as they may go on by paragraph."""
+    stack: list[str] = []
+    before = ""
+    for c in _CODE.sub(" ", text):
+        if stack and c == stack[-1]:
             stack.pop()
-    return bool(stack) and not _END.search(line)
+        elif c in _OPEN:
+            stack.append(_OPEN[c])
+        elif c == '"' and not before.isdigit() and not before.isalpha():
+            stack.append('"')
+        elif c == "\n" and before == "\n":
+            stack = [x for x in stack if x in _BRACKETS]
+        elif c in _BRACKETS and c in stack:
+            # what was opened inside of a closed bracket is over
+            del stack[len(stack) - 1 - stack[::-1].index(c) :]
+        before = c
+    return stack
 
 
 def _announced_more(lines: list[str]) -> bool:

@@ -133,6 +133,19 @@ def test_defects(question, answer, expected):
     assert pairs.defect([question], answer) == expected
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [("(first part\nA finished line.", [")"]), ("He said “no (never)” and left.", []), ("„Nein“, sagte er («ja»).", []), ("„Nein (", ["“", ")"]), ('A 5" pipe, then "open', ['"']), ('"All" of it.', []), ("a) one\nb) two", []), ("`(` and ```\n[ {\n``` end.", []), ("「一（二」", ["」", "）"]), ("“One paragraph.\n\nAnother.", []), ("f(x[1)", []), ("", [])],
+)
+def test_delimiters_of_the_whole_answer(text, wanted):
+    assert pairs.open_delimiters(text) == wanted
+
+
+def test_answer_open_on_an_earlier_line_is_truncated():
+    assert pairs.defect([Q], "The label printer (first part of the list\nchecks the daily report at noon.") == "truncated"
+    assert pairs.defect([Q], "It takes (about) four minutes.\nThe label printer “checks” the daily report.") is None
+
+
 def test_suffix_automaton_against_brute_force():
     random.seed(3)
     for _ in range(40):
@@ -279,6 +292,13 @@ def test_mixed_text_has_segments(judge):
     assert judge.text("12345 67890 !!!") == (None, 0.0, [], [])
 
 
+def test_letters_of_all_scripts_have_n_grams():
+    for text in ("프린터는 일일 보고서", "ⲁⲃⲅⲇ ⲉⲋ", "ꙀꙁꙂꙃ", "ﬁﬂﬃﬄﬅ", "𐌰𐌱𐌲𐌳"):
+        assert len(language.grams(text)[0]), text
+    rows = [("ko", t) for t in ["프린터는 일일 보고서를 확인하고 승인을 기다립니다.", "검색 화면은 이전 버전을 유지하고 답변을 게시합니다."] * 20] + [("zh", t) for t in ZH * 20]
+    assert language.Judge(language.fit(rows, ["ko", "zh"])).text("프린터는 승인을 기다립니다.")[0] == "ko"
+
+
 def test_wrong_labels_on_spark(spark):
     rng = random.Random(8)
     rows = [(l, t, l) for l in WORDS for t in _texts(l, 30, rng)]
