@@ -76,6 +76,15 @@ def jaccard(a: str, b: str, chars: int = CHARS) -> float:
     return both / (len(x) + len(y) - both) if x and y else 0.0
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """The same of sorted distinct 64-bit hashes, which differ for different substrings of two texts as good as always."""
+    if not len(x) or not len(y):
+        return 0.0
+    both = np.sort(np.concatenate([x, y]))
+    same = int((both[1:] == both[:-1]).sum())
+    return same / (len(x) + len(y) - same)
+
+
 def _sign(texts: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _functions()
@@ -198,7 +207,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float,
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            s = np.array([jaccard(x, y) for x, y in zip(f["x"], f["y"], strict=True)], dtype=float)
+            sets: dict[int, np.ndarray] = {}
+            for rids, texts in ((f["a"], f["x"]), (f["b"], f["y"])):
+                for r, t in zip(rids, texts, strict=True):
+                    if r not in sets:
+                        sets[r] = np.unique(shingle_hashes(t))
+            s = np.array([overlap(sets[a], sets[b]) for a, b in zip(f["a"], f["b"], strict=True)], dtype=float)
             yield f[["a", "b"]].assign(similarity=s)[s >= threshold]
 
     texts = reps.select("rid", "content")

@@ -306,5 +306,9 @@ def test_hot_equal_vectors_of_few_sources_are_exact(spark):
 
 def test_shingles_are_of_code_points():
     assert len(set(neardup.shingle_hashes("🙂🙂🙂🙂🙂a"))) == 2 and len(neardup.shingle_hashes("abcd")) == 0
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("ab会", k=rng.randint(0, 40))) for _ in range(2))
+        assert neardup.overlap(*(np.unique(neardup.shingle_hashes(t)) for t in (a, b))) == neardup.jaccard(a, b)
     assert neardup.jaccard("abcdef", "abcdef") == 1 and neardup.jaccard("", "") == 0
     assert Counter(len(neardup.signature("x" * n, *neardup._functions())) for n in (5, 5000)) == {neardup.HASHES: 2}
