@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespan.llm import encode, garble, knn, language, mainbody, neardup, pack, pairs, split
+from lorespan.session import scratch_dir
 from lorespan.sources.tables import table
 
 NEAR_DUPLICATE = {"threshold": 0.7, "least_chars": 300, "most_chars": 3000}
 
+#: Files that p6_file_pieces writes, each of a share of all texts.
+FILES = 3
 #: Documents count as copies of each other, for p8, from this similarity on; texts of fewer characters have no substrings.
 COPIES = {"threshold": 0.8, "least_chars": neardup.CHARS, "most_chars": 2**31 - 1}
 
@@ -66,13 +70,26 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, _ = _split(spark, sf_dir)
-    return pieces.where("piece_no = 0").select(*split.key_parts())
+    return pieces.where("section = 0 and piece_in_section = 0").select(*split.key_parts())
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.emit_pieces(*_split(spark, sf_dir)).select(*split.key_parts(), "piece_no", F.col("start").alias("start_char"), F.col("end").alias("end_char"), "text")
 
 
+def p6_file_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of documents, written as FILES text files in order of id, and split by byte ranges."""
+    folder = f"{scratch_dir(spark)}/split-files-{uuid.uuid4().hex}"
+    texts = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    in_files = texts.repartition(FILES, F.pmod("doc_id", F.lit(FILES))).sortWithinPartitions("doc_id").select("text")
+    in_files.write.text(folder)
+    paths = sorted(r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path").collect())
+    limit = split.settings(spark, table(spark, sf_dir, "split_setting")).get(("paragraph", "content"), (2000, 120))
+    pieces = split.split_files(spark, paths, *limit)
+    number = F.regexp_extract("item_key", r"part-(\d+)-[^/]*$", 1).cast("int").alias("file_no")
+    return pieces.select(number, "piece_no", F.col("start").alias("start_char"), F.col("end").alias("end_char"), "text")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -123,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
+        "p6_file_pieces": p6_file_pieces,
         "p7_ids": p7_ids,
         "p8_packed": p8_packed,
         "p9_found": p9_found,

@@ -2,12 +2,15 @@
 
 Method: an item is seen as ranges, and no step holds a whole item. (1) Workers take one range with a halo of HALO
 characters on each side and list the cut points in the range itself, strongest first kind: paragraph, line, sentence,
-clause, word; the halo makes the decision at the range's edges equal to that on the whole. (2) Range lengths are
-prefix-summed per item by a window, which stitches the local tables into one of global offsets. (3) Each item's table,
-sorted by range, is streamed through a fold that keeps only the open piece, and yields pieces as offsets. (4) Pieces are
-joined to the ranges they touch, and the parts are put together in order. Items of at most the limit never enter (3).
+clause, word; the halo makes the decision at the range's edges equal to that on the whole. (2) The lengths of the ranges are
+prefix-summed in two levels, groups of ranges and ranges in a group, without their cut points; this stitches the local
+tables into one of global offsets. (3) An item is divided into sections of SECTION times its limit, each ending at the best
+cut point within the limit before that place. Sections are folded in tasks of their own, in order of range, so one giant
+file keeps many tasks busy; a task holds one range and one open piece. (4) Pieces are joined to the ranges they touch, and
+the parts are put together in order. Items of at most the limit never enter (3).
 
-For text columns, ranges are substrings; for files (split_files) they are byte ranges that each worker reads by seek.
+For text columns, ranges are parts of a value; for files (split_files) they are byte ranges that each worker reads at their
+offsets, from any file system pyarrow can open by the path's scheme.
 
 A piece has at most max_chars characters (code points). Its end is the last cut point of the strongest kind that lies in
 the last two thirds of the room; where there's none, it is cut at max_chars. Each further piece starts overlap_chars before
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from lorespan.session import n_tasks
+from lorespan.session import materialize, n_tasks
 
 RANGE_CHARS = 65_536
 RANGE_BYTES = 1 << 20
@@ -48,6 +51,9 @@ KINDS = (
 _PATTERNS = [re.compile(p) for p in KINDS]
 #: A piece ends in this last part of its room if it can.
 ROOM = 2 / 3
+#: Sections of an item, in limits; and ranges of one group of the prefix sum.
+SECTION = 256
+GROUP = 1024
 
 
 def cut_points(text: str, left: int, right: int) -> list[int]:
@@ -63,9 +69,9 @@ def cut_points(text: str, left: int, right: int) -> list[int]:
 class Fold:
     """Takes an item's cut points in order of offset and gives pieces (start, end) as soon as they're decided."""
 
-    def __init__(self, max_chars: int, overlap: int) -> None:
+    def __init__(self, max_chars: int, overlap: int, start: int = 0) -> None:
         self.max, self.overlap = max_chars, min(max(overlap, 0), max_chars // 2)
-        self.start, self.known, self.points = 0, 0, []
+        self.start, self.known, self.points = start, start, []
 
     def feed(self, cuts: list[tuple[int, int]], known: int, last: bool) -> Iterator[tuple[int, int]]:
         """cuts: (offset, kind) up to the offset known; last: known is the item's end."""
@@ -97,16 +103,23 @@ class Fold:
 
 
 def ranges(items: DataFrame, text_col: str = "text", size: int = RANGE_CHARS) -> DataFrame:
-    """item_key, max_chars, overlap_chars, range_no, body (with halos), left (of the halo)."""
-    n = F.length(text_col)
-    return items.select(
-        "item_key", "max_chars", "overlap_chars", text_col, F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / size))).alias("__p", "range_no")
-    ).select(
-        "item_key", "max_chars", "overlap_chars", "range_no",
-        F.least(F.lit(HALO).cast("long"), F.col("range_no") * size).cast("int").alias("left"),
-        F.least(F.lit(size).cast("long"), F.length(text_col) - F.col("range_no") * size).cast("int").alias("n"),
-        F.substring(F.col(text_col), (F.greatest(F.col("range_no") * size - HALO, F.lit(0)) + 1).cast("int"), F.lit(size + 2 * HALO)).alias("body"),
-    )
+    """item_key, max_chars, overlap_chars, range_no, left (of the halo), n, body (with halos). One pass over each text."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k, most, over, text in f.itertuples(index=False):
+                for at in range(0, len(text), size):
+                    left = min(HALO, at)
+                    out.append((k, most, over, at // size, left, min(size, len(text) - at), text[at - left : at + size + HALO]))
+                    if len(out) == 256:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    columns = ["item_key", "max_chars", "overlap_chars", "range_no", "left", "n", "body"]
+    full = items.where(F.length(text_col) > 0).select("item_key", "max_chars", "overlap_chars", text_col)
+    return full.mapInPandas(run, "item_key string, max_chars int, overlap_chars int, range_no long, left int, n int, body string")
 
 
 def boundary_table(cut: DataFrame) -> DataFrame:
@@ -120,32 +133,112 @@ def boundary_table(cut: DataFrame) -> DataFrame:
     return cut.mapInPandas(run, "item_key string, max_chars int, overlap_chars int, range_no long, n_chars long, cuts array<long>")
 
 
+def offsets(boundaries: DataFrame) -> DataFrame:
+    """item_key, range_no, offset, total: where each range starts. Lengths alone are summed, first by groups of ranges, so
+    no task sees more than GROUP ranges or one row of each group of an item."""
+    slim = boundaries.select("item_key", "range_no", "n_chars", F.floor(F.col("range_no") / GROUP).alias("g"))
+    before = lambda keys, order: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    groups = slim.groupBy("item_key", "g").agg(F.sum("n_chars").alias("n"))
+    groups = groups.select("item_key", "g", F.coalesce(F.sum("n").over(before(["item_key"], "g")), F.lit(0)).alias("base"), F.sum("n").over(W.partitionBy("item_key")).alias("total"))
+    within = slim.withColumn("inner", F.coalesce(F.sum("n_chars").over(before(["item_key", "g"], "range_no")), F.lit(0)))
+    return within.join(groups, ["item_key", "g"]).select("item_key", "range_no", (F.col("base") + F.col("inner")).alias("offset"), "total")
+
+
+def section_edge(points: list[tuple[int, int]], place: int, max_chars: int) -> int:
+    """Where the section that ends about `place` does: at the best cut point in the limit before it."""
+    room = points[bisect_right(points, (place - max_chars, 8)) : bisect_right(points, (place, 8))]
+    return min(room, key=lambda p: (p[1], -p[0]))[0] if room else place
+
+
 def plan_pieces(boundaries: DataFrame) -> DataFrame:
-    """item_key, piece_no, start, end (characters), and the first and last range touched, of the items that need more than one piece.
+    """item_key, section, piece_in_section, start, end (characters), and the first and last range touched, of the items that
+    need more than one piece. Numbers within the item are given by numbered().
 
-    Items are spread by key and streamed in order of range, so a task holds one batch and one open piece.
+    A section's task reads the ranges from the limit and twice the overlap before it to its end.
     """
-    offset = F.sum("n_chars").over(W.partitionBy("item_key").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1))
-    total = F.sum("n_chars").over(W.partitionBy("item_key"))
-    stitched = boundaries.select("*", F.coalesce(offset, F.lit(0)).alias("offset"), total.alias("total")).where(F.col("total") > F.col("max_chars"))
+    size = F.col("max_chars").cast("long") * SECTION
+    back = F.col("max_chars").cast("long") * 2
+    placed = boundaries.join(offsets(boundaries), ["item_key", "range_no"]).where(F.col("total") > F.col("max_chars"))
+    last_section = F.floor((F.col("total") - 1) / size)
+    of_range = F.sequence(F.floor(F.col("offset") / size), F.least(F.floor((F.col("offset") + F.col("n_chars") + back) / size), last_section))
+    tasks = placed.withColumn("section", F.explode(of_range))
+
+    limits = SECTION
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, fold, no, starts, first = None, None, 0, [], 0
+        columns = ["item_key", "section", "piece_in_section", "start", "end", "first_range", "last_range"]
+        key, section = None, None
         for f in frames:
             out = []
-            for k, most, overlap, r, n, cuts, off, tot in f[["item_key", "max_chars", "overlap_chars", "range_no", "n_chars", "cuts", "offset", "total"]].itertuples(index=False):
-                if k != key:
-                    key, fold, no, starts, first = k, Fold(most, overlap), 0, [], r
-                starts.append(off)
-                for a, b in fold.feed([(int(off) + (c >> 3), c & 7) for c in map(int, cuts)], int(off + n), off + n == tot):
-                    out.append((k, no, a, b, first + bisect_right(starts, a) - 1, first + bisect_left(starts, b) - 1))
-                    no += 1
-                if gone := max(bisect_right(starts, fold.start) - 1, 0):
-                    first, starts = first + gone, starts[gone:]
-            yield pd.DataFrame(out, columns=["item_key", "piece_no", "start", "end", "first_range", "last_range"])
-
-    spread = stitched.repartition("item_key").sortWithinPartitions("item_key", "range_no")
-    return spread.mapInPandas(run, "item_key string, piece_no int, start long, end long, first_range long, last_range long")
+            for k, s, most, overlap, r, n, cuts, off, total in f[["item_key", "section", "max_chars", "overlap_chars", "range_no", "n_chars", "cuts", "offset", "total"]].itertuples(index=False):
+                if (k, s) != key:
+                    if section:
+                        out += section.finish()
+                    key, section = (k, s), Section(k, int(s), most, overlap, int(total), most * limits)
+                out += section.feed(int(r), int(off), int(n), [(int(off) + (c >> 3), c & 7) for c in map(int, cuts)])
+            yield pd.DataFrame(out, columns=columns)
+        if section:
+            yield pd.DataFrame(section.finish(), columns=columns)
+
+    spread = tasks.repartition(n_tasks(boundaries.sparkSession), "item_key", "section").sortWithinPartitions("item_key", "section", "range_no")
+    return spread.mapInPandas(run, "item_key string, section long, piece_in_section int, start long, end long, first_range long, last_range long")
+
+
+class Section:
+    """Pieces of one section; ranges are fed in order."""
+
+    def __init__(self, key: str, number: int, max_chars: int, overlap: int, total: int, size: int) -> None:
+        self.key, self.number, self.max, self.overlap, self.total = key, number, max_chars, overlap, total
+        self.begin, self.stop = number * size, min((number + 1) * size, total)
+        self.fold: Fold | None = Fold(max_chars, overlap) if number == 0 else None
+        self.points: list[tuple[int, int]] = []  # before the section's first piece is known, and within the limit before its end
+        self.starts: list[tuple[int, int]] = []  # offset and number of the ranges
+        self.pieces, self.known = 0, 0
+
+    def feed(self, r: int, offset: int, n: int, cuts: list[tuple[int, int]]) -> list[tuple]:
+        self.starts.append((offset, r))
+        self.known = offset + n
+        self.points += cuts
+        if self.fold is None:
+            if self.known < self.begin and self.known < self.total:
+                return []
+            # the first piece starts before the section's edge by the overlap
+            edge = section_edge(self.points, self.begin, self.max)
+            first = Fold(self.max, self.overlap)
+            first.points = self.points
+            self.fold = Fold(self.max, self.overlap, first._next(edge) if self.overlap else edge)
+            self.points = [p for p in self.points if p[0] > self.fold.start]
+        # cut points near the section's end wait until its edge is known
+        sure = min(self.known, self.stop if self.stop == self.total else self.stop - self.max)
+        at = bisect_right(self.points, (sure, 8))
+        out = self._rows(self.fold.feed(self.points[:at], max(sure, self.fold.known), False))
+        self.points = self.points[at:]
+        return out
+
+    def finish(self) -> list[tuple]:
+        if self.fold is None:
+            return []
+        edge = self.stop if self.stop == self.total else section_edge(self.points, self.stop, self.max)
+        return self._rows(self.fold.feed([p for p in self.points if p[0] <= edge], edge, True))
+
+    def _rows(self, pieces: Iterator[tuple[int, int]]) -> list[tuple]:
+        out = []
+        for a, b in pieces:
+            first = bisect_right(self.starts, (a, 1 << 62)) - 1
+            last = bisect_left(self.starts, (b, -1)) - 1
+            out.append((self.key, self.number, self.pieces, a, b, self.starts[first][1], self.starts[last][1]))
+            self.pieces += 1
+        if gone := max(bisect_right(self.starts, (self.fold.start, 1 << 62)) - 1, 0):
+            del self.starts[:gone]
+        return out
+
+
+def numbered(pieces: DataFrame) -> DataFrame:
+    """With piece_no: the number of pieces in the sections before, and the one within."""
+    counts = pieces.groupBy("item_key", "section").agg(F.count("*").alias("n"))
+    before = W.partitionBy("item_key").orderBy("section").rowsBetween(W.unboundedPreceding, -1)
+    base = counts.select("item_key", "section", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return pieces.join(base, ["item_key", "section"]).withColumn("piece_no", (F.col("base") + F.col("piece_in_section")).cast("int")).drop("base")
 
 
 def touched_ranges(pieces: DataFrame) -> DataFrame:
@@ -154,7 +247,7 @@ def touched_ranges(pieces: DataFrame) -> DataFrame:
 
 def emit_pieces(pieces: DataFrame, cut: DataFrame, size: int = RANGE_CHARS) -> DataFrame:
     """The pieces with their text, put together from the ranges they touch."""
-    touched = touched_ranges(pieces)
+    touched = touched_ranges(numbered(pieces))
     parts = touched.join(cut.select("item_key", "range_no", "left", "n", "body"), ["item_key", "range_no"])
     base = F.col("range_no") * size
     a = F.greatest(F.col("start") - base, F.lit(0))
@@ -170,7 +263,7 @@ def emit_pieces(pieces: DataFrame, cut: DataFrame, size: int = RANGE_CHARS) -> D
 def split_items(items: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Pieces as offsets, and the ranges to emit them from. items: item_key, text_col, max_chars, overlap_chars; keys are unique."""
     cut = ranges(items.where(F.length(text_col) > F.col("max_chars")), text_col)
-    return plan_pieces(boundary_table(cut)), cut
+    return plan_pieces(materialize(boundary_table(cut), "split-boundaries")), cut
 
 
 def settings(spark: SparkSession, split_setting: DataFrame) -> dict[tuple[str, str], tuple[int, int]]:
@@ -210,17 +303,27 @@ def key_parts() -> list:
 
 
 def file_ranges(spark: SparkSession, paths: list[str], max_chars: int, overlap_chars: int, size: int = RANGE_BYTES) -> DataFrame:
-    """Byte ranges of files on a file system all workers see; only sizes are looked up on the driver."""
-    rows = [(p, os.path.getsize(p)) for p in paths]
+    """Byte ranges of files, by path or URI; only sizes are looked up on the driver."""
+    rows = []
+    for p in paths:
+        files, path = _opened(p)
+        rows.append((p, files.get_file_info(path).size or 0))
     files = spark.createDataFrame(rows, "item_key string, total_bytes long")
     every = files.where("total_bytes > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total_bytes") - 1) / size))).alias("range_no"))
     return every.repartition(n_tasks(spark), "item_key", "range_no").select("*", F.lit(max_chars).alias("max_chars"), F.lit(overlap_chars).alias("overlap_chars"))
 
 
-def _read(path: str, start: int, end: int) -> bytes:
-    with open(path, "rb") as file:
-        file.seek(start)
-        return file.read(end - start)
+def _opened(uri: str) -> tuple[object, str]:
+    """File system and path of a URI; of a bare path, the local one's."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else os.path.abspath(uri))
+
+
+def _read(uri: str, start: int, end: int) -> bytes:
+    files, path = _opened(uri)
+    with files.open_input_file(path) as file:
+        return file.read_at(end - start, start)
 
 
 def _aligned(raw: bytes, at: int) -> int:
@@ -250,12 +353,9 @@ def file_boundaries(cut: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
 
 def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_chars: int, size: int = RANGE_BYTES) -> DataFrame:
     """item_key (path), piece_no, start, end, text of files of any size; no worker holds more than a range and its pieces."""
-    from lorespan.session import materialize
-
     table = materialize(file_boundaries(file_ranges(spark, paths, max_chars, overlap_chars, size), size), "file-boundaries")
-    pieces = plan_pieces(table)
-    w = W.partitionBy("item_key").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
-    spans = table.select("item_key", "range_no", F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("from_char"), "n_chars", "from_byte", "n_bytes")
+    pieces = numbered(materialize(plan_pieces(table), "file-pieces"))
+    spans = table.select("item_key", "range_no", "n_chars", "from_byte", "n_bytes").join(offsets(table).select("item_key", "range_no", F.col("offset").alias("from_char")), ["item_key", "range_no"])
     near = touched_ranges(pieces).join(spans, ["item_key", "range_no"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

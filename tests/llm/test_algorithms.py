@@ -169,11 +169,28 @@ def test_pieces_cover_within_limits_and_equal_over_ranges(spark, monkeypatch):
     assert all(t.endswith("\n\n") for _, _, e, t in results[0]["k3"] if e < len(texts[3]))
 
 
-def test_giant_files_by_byte_ranges(spark, tmp_path):
+@pytest.mark.parametrize(("section", "group"), [(2, 1), (3, 7), (256, 1024)])
+def test_sections_and_groups_cover_the_item(spark, monkeypatch, section, group):
+    monkeypatch.setattr(split, "SECTION", section)
+    monkeypatch.setattr(split, "GROUP", group)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abc  .,\n", k=n)) for n in (4000, 501, 999)] + ["x" * 3000]
+    items = spark.createDataFrame([(f"k{i}", t, 200, 30) for i, t in enumerate(texts)], "item_key string, text string, max_chars int, overlap_chars int")
+    cut = split.ranges(items, size=61)
+    got = defaultdict(list)
+    for r in split.emit_pieces(split.plan_pieces(split.boundary_table(cut)), cut, 61).collect():
+        got[r.item_key].append((r.piece_no, r.start, r.end, r.text))
+    for i, t in enumerate(texts):
+        assert [r[0] for r in sorted(got[f"k{i}"])] == list(range(len(got[f"k{i}"])))
+        _check_pieces(t, got[f"k{i}"], 200, 30)
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_giant_files_by_byte_ranges(spark, tmp_path, scheme):
     text = "".join(f"Satz {i} über die Größe. 会议{i}。\n" for i in range(4000))
     path = tmp_path / "big.txt"
     path.write_text(text, encoding="utf-8")
-    rows = [(r.piece_no, r.start, r.end, r.text) for r in split.split_files(spark, [str(path)], 3000, 100, size=4099).collect()]
+    rows = [(r.piece_no, r.start, r.end, r.text) for r in split.split_files(spark, [scheme + str(path)], 3000, 100, size=4099).collect()]
     _check_pieces(text, rows, 3000, 100)
 
 
@@ -182,7 +199,7 @@ def test_split_tables_with_nulls_and_repeats(spark):
     imp = spark.createDataFrame([("d1", [("a", "b" * 1501), None]), ("d2", None), ("d3", [])], "id string, paragraphs array<struct<title string, content string>>")
     limits = {("paragraph", "content"): (2000, 120), ("paragraph", "title"): (255, 0), ("document_import", "content"): (1500, 80)}
     pieces, _ = split.split_items(split.items_of(spark, {"paragraph": par, "document_import": imp}, limits))
-    got = pieces.where("piece_no = 0").select(*split.key_parts()).collect()
+    got = pieces.where("section = 0 and piece_in_section = 0").select(*split.key_parts()).collect()
     assert sorted(map(tuple, got)) == [("document_import", "d1", 0, "content"), ("paragraph", "p1", 0, "content"), ("paragraph", "p3", 0, "title")]
 
 
