@@ -85,7 +85,9 @@ def overlap(x: np.ndarray, y: np.ndarray) -> float:
     return same / (len(x) + len(y) - same)
 
 
-def _sign(texts: DataFrame) -> DataFrame:
+def _sign(texts: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns keep, and the band keys and sketch of column content."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _functions()
         mix = np.random.default_rng(_SEED + 1).integers(0, 1 << 62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,9 +101,10 @@ def _sign(texts: DataFrame) -> DataFrame:
                 # the band's number is part of its key
                 bands.append(((v * mix[::-1]).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number).view(np.int64))
                 sketches.append((s >> np.uint32(24)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"rid": f["rid"], "bands": bands, "sketch": sketches})
+            yield f[keep].assign(bands=bands, sketch=sketches)
 
-    return texts.mapInPandas(run, "rid long, bands array<long>, sketch binary")
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keep)
+    return texts.select(*keep, "content").mapInPandas(run, f"{kinds}, bands array<long>, sketch binary")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
@@ -202,7 +205,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float,
     keyed = rows.select("id", "content", F.md5(F.col("content").cast("binary")).alias("key"))
     reps = materialize(keyed.dropDuplicates(["key"]).select("key", "content", F.monotonically_increasing_id().alias("rid")), "dup-texts")
     members = materialize(keyed.select("id", "key").distinct().join(reps.select("key", "rid"), "key").select("rid", "id"), "dup-members")
-    signed = materialize(_sign(spread(reps.select("rid", "content"))), "dup-signatures")
+    signed = materialize(_sign(spread(reps), ["rid"]), "dup-signatures")
     cand = _candidates(signed, threshold - MARGIN)
 
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,6 +223,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float,
     return members, materialize(both.select("a", "b", "x", "y").mapInPandas(exact, "a long, b long, similarity double"), "dup-links")
 
 
+def alike(df: DataFrame, id_col: str, text_col: str, threshold: float, least_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Members (rid, id) and links (a, b) of distinct texts whose signatures agree in a share of `threshold`: the same without
+    the exact check, so that texts aren't shuffled."""
+    rows = df.where(F.col(id_col).isNotNull() & (F.length(text_col) >= least_chars)).select(F.col(id_col).alias("id"), F.col(text_col).alias("content"))
+    signed = _sign(spread(rows.withColumn("key", F.md5(F.col("content").cast("binary")))), ["id", "key"])
+    signed = materialize(signed, "alike-signatures")
+    one = materialize(signed.select("key", "bands", "sketch").dropDuplicates(["key"]).withColumn("rid", F.monotonically_increasing_id()), "alike-texts")
+    members = materialize(signed.select("id", "key").distinct().join(one.select("key", "rid"), "key").select("rid", "id"), "alike-members")
+    return members, materialize(_candidates(one, threshold), "alike-links")
+
+
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """id_a < id_b of every pair of records with linked or equal texts, each once."""
     one = members.select(F.col("rid").alias("a"), F.col("id").alias("i"))

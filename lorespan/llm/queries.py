@@ -17,7 +17,7 @@ NEAR_DUPLICATE = {"threshold": 0.7, "least_chars": 300, "most_chars": 3000}
 #: Files that p6_file_pieces writes, each of a share of all texts.
 FILES = 3
 #: Documents count as copies of each other, for p8, from this similarity on; texts of fewer characters have no substrings.
-COPIES = {"threshold": 0.8, "least_chars": neardup.CHARS, "most_chars": 2**31 - 1}
+COPIES = {"threshold": 0.8, "least_chars": neardup.CHARS}
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sized = encode.token_counts(docs, ["doc_id", "source"], "text").select(F.col("doc_id").alias("item_id"), "n_tokens", "source")
     folded = docs.select("doc_id", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("folded"))
-    alike = neardup.groups(*neardup.near_duplicates(folded, "doc_id", "folded", **COPIES))
+    alike = neardup.groups(*neardup.alike(folded, "doc_id", "folded", **COPIES))
     clusters = alike.join(alike.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1"), "group_id").select(F.col("id").alias("item_id"), F.col("group_id").alias("cluster"))
     sized = sized.join(clusters, "item_id", "left")
     packed = pack.pack(sized, [(r.container_name, r.capacity_tokens) for r in rows])
