@@ -34,7 +34,7 @@ TOKENIZER = "byte_bpe_50k"
 #: Fixed value: the pattern that cuts text into words before the merges of this vocabulary.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words and pieces of one recursive query, by their bytes; a longer one is a query of its own.
-QUERY_BYTES = 400_000
+QUERY_BYTES = 200_000
 CACHE_WORDS = 300_000
 #: Bytes by which pieces of long words follow each other, and by which each reaches into the next.
 PIECE, OVERLAP = 48, 24
@@ -97,7 +97,7 @@ class Encoder:
         self.words = regex.compile(WORD_PATTERN)
         self.db = duckdb.connect(":memory:")
         self.db.execute("set threads = 1")
-        self.db.execute("set memory_limit = '500MB'")
+        self.db.execute("set memory_limit = '300MB'")
         self.db.register("merge_rows", self.merges)
         self.db.execute("create table merges as select * from merge_rows")
         self.cache: dict[str, tuple[int, ...]] = {}

@@ -37,11 +37,11 @@ SALTS = 16
 _SEED = 20250101
 
 
-def _functions() -> tuple[np.ndarray, np.ndarray]:
+def _functions(bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
     """Multiply-add functions of 32 bits, each a permutation."""
     rng = np.random.default_rng(_SEED)
-    a = rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    return a, rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+    a = rng.integers(0, 1 << 31, bands * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return a, rng.integers(0, 1 << 32, bands * ROWS, dtype=np.uint32)
 
 
 def shingle_hashes(text: str, chars: int = CHARS) -> np.ndarray:
@@ -61,7 +61,7 @@ def shingle_hashes(text: str, chars: int = CHARS) -> np.ndarray:
 def signature(text: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The minimum of each function over the text's substrings; repeated ones don't matter to it."""
     x = (shingle_hashes(text) >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    out = np.full(len(a), np.iinfo(np.uint32).max, dtype=np.uint32)
     for at in range(0, len(x), 512):
         y = np.multiply(x[at : at + 512, None], a[None, :])
         y += b
@@ -85,18 +85,18 @@ def overlap(x: np.ndarray, y: np.ndarray) -> float:
     return same / (len(x) + len(y) - same)
 
 
-def _sign(texts: DataFrame, keep: list[str]) -> DataFrame:
+def _sign(texts: DataFrame, keep: list[str], n_bands: int = BANDS) -> DataFrame:
     """Columns keep, and the band keys and sketch of column content."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = _functions()
+        a, b = _functions(n_bands)
         mix = np.random.default_rng(_SEED + 1).integers(0, 1 << 62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        number = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        number = np.arange(n_bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         for f in frames:
             bands, sketches = [], []
             for text in f["content"]:
                 s = signature(text, a, b)
-                v = s.reshape(BANDS, ROWS).astype(np.uint64) * mix
+                v = s.reshape(n_bands, ROWS).astype(np.uint64) * mix
                 v ^= v >> np.uint64(31)
                 # the band's number is part of its key
                 bands.append(((v * mix[::-1]).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number).view(np.int64))
@@ -114,7 +114,7 @@ def _alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
 
 
 def _sketches(col: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(col), dtype=np.uint8).reshape(len(col), HASHES)
+    return np.frombuffer(b"".join(col), dtype=np.uint8).reshape(len(col), -1)
 
 
 class Buckets:
@@ -223,11 +223,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float,
     return members, materialize(both.select("a", "b", "x", "y").mapInPandas(exact, "a long, b long, similarity double"), "dup-links")
 
 
-def alike(df: DataFrame, id_col: str, text_col: str, threshold: float, least_chars: int) -> tuple[DataFrame, DataFrame]:
+def alike(df: DataFrame, id_col: str, text_col: str, threshold: float, least_chars: int, n_bands: int = 25) -> tuple[DataFrame, DataFrame]:
     """Members (rid, id) and links (a, b) of distinct texts whose signatures agree in a share of `threshold`: the same without
-    the exact check, so that texts aren't shuffled."""
+    the exact check, so that texts aren't shuffled. With 25 bands, texts of a similarity of 0.8 meet with a probability of
+    0.9995, and the estimate's standard error is 0.033."""
     rows = df.where(F.col(id_col).isNotNull() & (F.length(text_col) >= least_chars)).select(F.col(id_col).alias("id"), F.col(text_col).alias("content"))
-    signed = _sign(spread(rows.withColumn("key", F.md5(F.col("content").cast("binary")))), ["id", "key"])
+    signed = _sign(spread(rows.withColumn("key", F.md5(F.col("content").cast("binary")))), ["id", "key"], n_bands)
     signed = materialize(signed, "alike-signatures")
     one = materialize(signed.select("key", "bands", "sketch").dropDuplicates(["key"]).withColumn("rid", F.monotonically_increasing_id()), "alike-texts")
     members = materialize(signed.select("id", "key").distinct().join(one.select("key", "rid"), "key").select("rid", "id"), "alike-members")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lorespan.session import materialize
 
-SHARD_ITEMS = 40_000
+SHARD_ITEMS = 20_000
 FULL = 0.97
 CROWDED = 0.1
 
