@@ -19,8 +19,8 @@ def latest_per(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def last_n(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    w = W.partitionBy(key).orderBy(F.desc_nulls_last(order))
+def last_n(df: DataFrame, key: str, order: str, n: int, tie: str | None = None) -> DataFrame:
+    w = W.partitionBy(key).orderBy(F.desc_nulls_last(order), *[F.desc(tie)] * bool(tie))
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
@@ -90,3 +90,29 @@ def descendants(folders: DataFrame, roots: DataFrame, most_depth: int = 3) -> Da
         level = level.join(below, level.id == below["__parent"]).select("root", F.col("__child").alias("id"), F.lit(d).alias("depth"))
         out = out.unionByName(level)
     return out.distinct()
+
+
+def runs(df: DataFrame, key: str, order: list[str], value: str, text: str, sep: str = "") -> DataFrame:
+    """key, run, value, text, n_parts: rows of one value in a row, in order, are one; their texts are joined. Null is a value."""
+    w = W.partitionBy(key).orderBy(*order)
+    begins = F.when(F.row_number().over(w) == 1, 1).otherwise((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"))
+    marked = df.withColumn("__begins", begins).withColumn("run", F.sum("__begins").over(w).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("__text"))))
+    return marked.groupBy(key, "run", value).agg(parts.alias("__parts"), F.count("*").alias("n_parts")).select(key, "run", value, F.array_join(F.transform("__parts", lambda p: p["__text"]), sep).alias(text), "n_parts")
+
+
+def grouped_map(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: a map from each key to the array of its values, in order; null keys are left out."""
+    per = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("__v"))
+    return per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "__v")))).alias("groups"))
+
+
+def flattened(lists: Column) -> Column:
+    """An array of arrays as one; null parts are left out."""
+    return F.flatten(F.filter(lists, lambda x: x.isNotNull()))
+
+
+def merged_maps(a: Column, b: Column) -> Column:
+    """Both maps' entries; where both have a key, the second counts. A null map has none."""
+    first = F.map_filter(a, lambda k, _: ~F.coalesce(F.map_contains_key(b, k), F.lit(False)))
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.map_concat(first, b))

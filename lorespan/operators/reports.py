@@ -75,9 +75,7 @@ def char_lengths(documents: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 def effective_permission(resources: DataFrame, grants: DataFrame) -> DataFrame:
     """Resources with the caller's permission: ROLE, MANAGE or VIEW by the kind of grant, NOT_AUTH without one."""
-    has = lambda p: F.array_contains("permission_list", p)
-    p = F.when((F.col("auth_type") == "ROLE") & has("ROLE"), "ROLE").when((F.col("auth_type") == "RESOURCE_PERMISSION_GROUP") & has("MANAGE"), "MANAGE").when((F.col("auth_type") == "RESOURCE_PERMISSION_GROUP") & has("VIEW"), "VIEW")
-    return resources.join(grants.select("target", p.alias("permission")), resources.id == F.col("target"), "left").select(*resources.columns, F.coalesce("permission", F.lit("NOT_AUTH")).alias("permission"))
+    return resources.join(grants.select("target", _granted().alias("permission")), resources.id == F.col("target"), "left").select(*resources.columns, F.coalesce("permission", F.lit("NOT_AUTH")).alias("permission"))
 
 
 def visible(resources: DataFrame, grants: DataFrame, role_permissions: DataFrame | None = None, user_roles: DataFrame | None = None, needed: str = "APPLICATION:READ", user_role: str = "USER") -> DataFrame:
@@ -116,3 +114,59 @@ def document_export(documents: DataFrame, paragraphs: DataFrame) -> DataFrame:
     problems = F.array_join(F.transform("problem_list", lambda p: p["content"]), "\n")
     rows = paragraphs.select("document_id", "sort_position", F.col("id").alias("paragraph_id"), formula_safe("title").alias("title"), formula_safe("content").alias("content"), formula_safe(F.coalesce(problems, F.lit(""))).alias("problems"))
     return rows.join(sheet, "document_id").select("sheet", "sort_position", "paragraph_id", "title", "content", "problems")
+
+
+def with_owner(resources: DataFrame, users: DataFrame, owner: str = "user_id") -> DataFrame:
+    """Resources with the nick name of who owns them (users: id, nick_name); unknown owners have none."""
+    return resources.join(users.select(F.col("id").alias(owner), "nick_name"), owner, "left")
+
+
+def with_chat_user(chats: DataFrame, users: DataFrame, key: str = "chat_user_id") -> DataFrame:
+    """Chats with their user's name. users: id of any type, compared as text, and name."""
+    names = users.select(F.col("id").cast("string").alias(key), F.col("name").alias("chat_user_name"))
+    return chats.join(names, key, "left")
+
+
+def applications_per_knowledge(knowledge: DataFrame, links: DataFrame) -> DataFrame:
+    """id, application_count: distinct applications (links: application_id, knowledge_id) that use each knowledge base."""
+    n = links.groupBy("knowledge_id").agg(F.countDistinct("application_id").alias("n"))
+    return knowledge.join(n, knowledge.id == n.knowledge_id, "left").select("id", F.coalesce("n", F.lit(0)).alias("application_count"))
+
+
+def last_activity(records: DataFrame) -> DataFrame:
+    """Per chat the time of its last record."""
+    return records.groupBy("chat_id").agg(F.max("create_time").alias("last_time"))
+
+
+def tokens_of_details(details: Column) -> Column:
+    """struct(message_tokens, answer_tokens): sums over the nodes of a JSON of run details; no or broken details: 0."""
+    nodes = F.map_values(F.from_json(details, "map<string, struct<message_tokens: bigint, answer_tokens: bigint>>"))
+    total = lambda f: F.coalesce(F.aggregate(nodes, F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(x[f], F.lit(0))), F.lit(0))
+    return F.struct(total("message_tokens").alias("message_tokens"), total("answer_tokens").alias("answer_tokens"))
+
+
+def _granted() -> Column:
+    has = lambda p: F.array_contains("permission_list", p)
+    group = F.col("auth_type") == "RESOURCE_PERMISSION_GROUP"
+    return F.when((F.col("auth_type") == "ROLE") & has("ROLE"), "ROLE").when(group & has("MANAGE"), "MANAGE").when(group & has("VIEW"), "VIEW")
+
+
+def user_permissions(users: DataFrame, grants: DataFrame) -> DataFrame:
+    """Users with their permission on one resource (its grants): as effective_permission() gives resources."""
+    return users.join(grants.select(F.col("user_id").alias("id"), _granted().alias("permission")), "id", "left").select(*users.columns, F.coalesce("permission", F.lit("NOT_AUTH")).alias("permission"))
+
+
+def all_resource_permissions(grants: DataFrame, **resources: DataFrame) -> DataFrame:
+    """The resources of all kinds (by keyword: id, name, user_id, workspace_id, icon, folder_id) with the list and kind of a
+    grant on them; without one, an empty list by role."""
+    parts = [df.select("id", "name", F.lit(kind).alias("auth_target_type"), "user_id", "workspace_id", F.col("icon").cast("string").alias("icon"), "folder_id") for kind, df in resources.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    g = grants.select(F.col("target").alias("id"), "permission_list", "auth_type")
+    return every.distinct().join(g, "id", "left").select(*parts[0].columns, F.coalesce("permission_list", F.array().cast("array<string>")).alias("permission_list"), F.coalesce("auth_type", F.lit("ROLE")).alias("auth_type"))
+
+
+def own_and_shared(resources: DataFrame, shared_ids: DataFrame, user: str, owner: str = "user_id") -> DataFrame:
+    """Resources of a user and those shared with them, each once."""
+    return resources.where(F.col(owner) == user).unionByName(resources.join(shared_ids.select("id"), "id", "left_semi")).distinct()

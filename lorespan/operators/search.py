@@ -6,8 +6,11 @@ row per paragraph and task; ties go to the smaller paragraph id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,30 +53,77 @@ def search(rows: DataFrame, mode: str, query_vector: list[float] | None = None,
     score = F.lit(0.0)
     if mode in ("embedding", "blend"):
         score = score + V.cosine(F.col("embedding"), V.literal(query_vector or []))
-    if mode in ("keywords", "blend"):
-        if mode == "keywords":
-            rows = rows.where(fulltext.may_match(F.col(tokens), query_text or ""))
-        score = score + F.coalesce(fulltext.rank_udf(query_text or "")(F.col(tokens)), F.lit(0.0))
-    return top(best_per_paragraph(rows.select("id", "paragraph_id", score.alias("score"))), threshold, top_n)
-
-
-#: The largest batch of query vectors that is broadcast.
+    if mode != "embedding":
+        # ranks are computed in Python, so only rows that can match go there
+        matches = fulltext.may_match(F.col(tokens), query_text or "")
+        ranked = rows.where(matches).select("id", "paragraph_id", (score + F.coalesce(fulltext.rank_udf(query_text or "")(F.col(tokens)), F.lit(0.0))).alias("score"))
+        if mode == "blend":
+            ranked = ranked.unionByName(rows.where(~F.coalesce(matches, F.lit(False))).select("id", "paragraph_id", score.alias("score")))
+    else:
+        ranked = rows.select("id", "paragraph_id", score.alias("score"))
+    return top(best_per_paragraph(ranked), threshold, top_n)
+
+
+#: Query vectors that are searched, and broadcast, at once.
 MOST_QUERIES = 10_000
 
 
 def search_many(rows: DataFrame, queries: DataFrame, threshold: float, top_n: int) -> DataFrame:
-    """query_id, paragraph_id, score, rank for a bounded batch of query vectors (query_id, query_vector) against all rows."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors")
-    q = F.broadcast(queries)
-    scored = rows.select("id", "paragraph_id", "embedding").join(q).select("query_id", "paragraph_id", V.cosine("embedding", "query_vector").alias("score")).where(F.col("score") > threshold)
-    best = scored.groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score"))
+    """query_id, paragraph_id, score, rank of any number of query vectors (query_id, query_vector) against all rows.
+
+    Queries are searched in blocks of about MOST_QUERIES. A task compares a batch of rows with a block and keeps, for each
+    query, the best row of each paragraph and the top_n of these; what is shuffled doesn't grow with the rows compared.
+    Vectors of another length, null and zero ones score nothing."""
+    spark = rows.sparkSession
+    n = queries.count()
+    blocks = max(1, -(-n // MOST_QUERIES))
+    found = None
+    for block in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks)) == block).select("query_id", "query_vector").toPandas()
+        shared = spark.sparkContext.broadcast(part)
+        out = rows.select("paragraph_id", "embedding").mapInPandas(_best_of_batches(shared, threshold, top_n), f"query_id {queries.schema['query_id'].dataType.simpleString()}, paragraph_id string, score double")
+        found = out if found is None else found.unionByName(out)
+    best = found.groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "paragraph_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
 
 
+def _best_of_batches(shared, threshold: float, top_n: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = shared.value
+        by_size: dict[int, tuple[list, np.ndarray]] = {}
+        for size in {len(v) for v in q["query_vector"] if v is not None}:
+            at = [i for i, v in enumerate(q["query_vector"]) if v is not None and len(v) == size]
+            m = np.array([q["query_vector"].iloc[i] for i in at], dtype=np.float64)
+            norm = np.sqrt((m * m).sum(1))
+            by_size[size] = ([q["query_id"].iloc[i] for i, x in zip(at, norm, strict=True) if x > 0], m[norm > 0] / norm[norm > 0][:, None])
+        for f in frames:
+            f = f[f["embedding"].notna() & f["paragraph_id"].notna()]
+            sizes = f["embedding"].map(len)
+            out = []
+            for size, (ids, m) in by_size.items():
+                of = f[sizes == size]
+                if not len(of) or not len(ids):
+                    continue
+                v = np.array(of["embedding"].tolist(), dtype=np.float64)
+                norm = np.sqrt((v * v).sum(1))
+                paragraphs = of["paragraph_id"].to_numpy()
+                for begin in range(0, len(ids), 256):
+                    with np.errstate(all="ignore"):
+                        scores = (m[begin : begin + 256] @ v.T) / norm
+                    for q_id, s in zip(ids[begin : begin + 256], scores, strict=True):
+                        best: dict[str, float] = {}
+                        for i in np.flatnonzero(s > threshold):
+                            best[paragraphs[i]] = max(best.get(paragraphs[i], -2.0), float(s[i]))
+                        out += [(q_id, p, x) for x, p in heapq.nsmallest(top_n, ((-x, p) for p, x in best.items()))]
+            yield pd.DataFrame([(i, p, -x) for i, p, x in out], columns=["query_id", "paragraph_id", "score"])
+
+    return run
+
+
 def hit_test(rows: DataFrame, paragraphs: DataFrame, documents: DataFrame, **query: object) -> DataFrame:
-    """Hits with their paragraphs, best first; inactive documents are left out."""
+    """Hits with their paragraphs; inactive documents are left out. rows may hold repeated rows, as the best one of a
+    paragraph counts."""
     inactive = documents.where(~F.col("is_active")).select(F.col("id").alias("document_id"))
     hits = search(rows.join(inactive, "document_id", "left_anti"), **query)  # type: ignore[arg-type]
     return hits.join(paragraphs.withColumnRenamed("id", "paragraph_id"), "paragraph_id").orderBy(F.desc("score"), "paragraph_id")
@@ -83,10 +133,11 @@ def direct_return(hits: DataFrame, method: str = "hit_handling_method", limit: s
     """The single best hit that its document returns directly, or all hits if there's none. The threshold is reached at
     equality, or only beyond it with strict."""
     over = F.col("score") > F.col(limit) if strict else F.col("score") >= F.col(limit)
-    flagged = hits.withColumn("direct", F.coalesce((F.col(method) == "directly_return") & over, F.lit(False)))
-    w = W.partitionBy()
-    ranked = flagged.withColumn("any_direct", F.max("direct").over(w)).withColumn("n", F.row_number().over(W.partitionBy("direct").orderBy(F.desc("score"), "paragraph_id")))
-    return ranked.where(~F.col("any_direct") | (F.col("direct") & (F.col("n") == 1))).drop("any_direct", "n")
+    direct = F.coalesce((F.col(method) == "directly_return") & over, F.lit(False))
+    best = hits.where(direct).orderBy(F.desc("score"), "paragraph_id").limit(1).withColumn("direct", F.lit(True))
+    # all of them only if there's no such row: an anti join with that one row
+    every = hits.withColumn("direct", direct).join(F.broadcast(best.select(F.lit(True).alias("__one"))), F.col("__one"), "left_anti")
+    return best.unionByName(every)
 
 
 def context_workflow(hits: DataFrame, most_chars: int = 5000, group: str | None = None) -> DataFrame:
@@ -101,8 +152,11 @@ def context_pipeline(hits: DataFrame, most_chars: int = 5000, group: str | None
     """'title:content' in data tags, best first, until the budget is used; the last one is cut."""
     part = F.concat(F.coalesce("title", F.lit("")), F.lit(":"), F.coalesce("content", F.lit("")))
     keys = [group] if group else []
-    w = W.partitionBy(*keys).orderBy(F.desc("score"), "paragraph_id").rowsBetween(W.unboundedPreceding, -1)
-    used = hits.select(*keys, "score", "paragraph_id", part.alias("part")).withColumn("used", F.coalesce(F.sum(F.length("part")).over(w), F.lit(0)))
+    order = W.partitionBy(*keys).orderBy(F.desc("score"), "paragraph_id")
+    w = order.rowsBetween(W.unboundedPreceding, -1)
+    # each part has a character at least, so no more of them than characters can count; ranks are limited before the shuffle
+    few = hits.select(*keys, "score", "paragraph_id", part.alias("part")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most_chars).drop("__n")
+    used = few.withColumn("used", F.coalesce(F.sum(F.length("part")).over(w), F.lit(0)))
     kept = used.where(F.col("used") < most_chars).withColumn("part", F.expr(f"substring(part, 1, {most_chars} - cast(used as int))"))
     tagged = F.concat(F.lit("<data>"), F.col("part"), F.lit("</data>"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("used", (-F.col("score")).alias("d"), "paragraph_id", tagged.alias("t")))), lambda x: x["t"]), "\n").alias("context")
@@ -122,8 +176,9 @@ def budget_cut(documents: DataFrame, most_chars: int, top_n: int, threshold: flo
     order = W.partitionBy(*keys).orderBy(F.desc("score"), tie)
     before = order.rowsBetween(W.unboundedPreceding, -1)
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    n = documents.withColumn("rank", F.row_number().over(order)).withColumn("used", F.coalesce(F.sum(F.length("content")).over(before), F.lit(0)))
-    ok = n.withColumn("ok", F.min((F.col("used") < most_chars) & (F.col("rank") <= top_n) & (F.col("score") >= threshold)).over(so_far))
+    # ranks are limited before the shuffle: no row beyond top_n comes back in
+    n = documents.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).withColumn("used", F.coalesce(F.sum(F.length("content")).over(before), F.lit(0)))
+    ok = n.withColumn("ok", F.min((F.col("used") < most_chars) & (F.col("score") >= threshold)).over(so_far))
     return ok.where("ok").withColumn("content", F.expr(f"substring(content, 1, cast({most_chars} - used as int))")).drop("ok", "used")
 
 
@@ -167,10 +222,19 @@ def hashing_embedder(size: int = 64) -> Callable[[Column], Column]:
     """A deterministic stand-in for a model: signed counts of hashed tokens, scaled to length 1, inside the JVM."""
     from lorespan.functions.text import tokens
 
+    def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+        """f(c), with c computed once."""
+        return F.element_at(F.transform(F.array(c), f), 1)
+
+    def counts(hashes: Column) -> Column:
+        of = lambda i: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(size)) == i), F.lit(0.0), lambda s, h: s + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0))
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), of)
+
+    def scaled(raw: Column) -> Column:
+        return bound(V.norm(raw), lambda n: F.when(n > 0, F.transform(raw, lambda x: (x / n).cast("float"))))
+
     def embed(text: Column) -> Column:
         hashes = F.transform(tokens(text), lambda t: F.xxhash64(t))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(size)) == i), F.lit(0.0), lambda s, h: s + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)))
-        n = V.norm(raw)
-        return F.when(n > 0, F.transform(raw, lambda x: (x / n).cast("float")))
+        return F.when(text.isNotNull(), bound(hashes, lambda h: bound(counts(h), scaled)))
 
     return embed

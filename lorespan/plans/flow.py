@@ -11,12 +11,16 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorespan.functions.predicates import branch
+from lorespan.operators.search import budget_cut, reranked, search_many
+from lorespan.sources.files import file_text
 
-START, CONDITION = "start-node", "condition-node"
+START, CONDITION, FORM = "start-node", "condition-node", "form-node"
 #: Nodes at which a flow may end.
 END_TYPES = ("ai-chat-node", "reply-node", "tool-node", "tool-lib-node", "application-node", "image-understand-node", "image-generate-node", "text-to-speech-node", "speech-to-text-node", "mcp-node")
 
@@ -99,6 +103,8 @@ class Flow:
         ways = []
         for e in self.up[node.id]:
             way = F.col(f"{e.source}__reached")
+            if self.nodes[e.source].type == FORM:
+                way = way & F.col(f"{e.source}__is_submit")
             if self.nodes[e.source].type == CONDITION:
                 m = re.fullmatch(rf"{re.escape(e.source)}_(.+)_right", e.anchor or "")
                 way = way & F.coalesce(F.col(f"{e.source}__branch_id") == (m[1] if m else ""), F.lit(False))
@@ -157,7 +163,12 @@ def _start(df: DataFrame, node: Node) -> DataFrame:
 
 
 def _condition(df: DataFrame, node: Node) -> DataFrame:
-    branches = [{"id": b["id"], "condition": b.get("condition", "and"), "conditions": [(reference(c["field"]), c["compare"], c.get("value")) for c in b.get("conditions", [])]} for b in node.config["branch"]]
+    def test(c: dict) -> tuple:
+        operand = reference(c["field"])
+        is_list = isinstance(df.select(operand.alias("x")).schema["x"].dataType, T.ArrayType)
+        return operand, c["compare"], c.get("value"), is_list
+
+    branches = [{"id": b["id"], "condition": b.get("condition", "and"), "conditions": [test(c) for c in b.get("conditions", [])]} for b in node.config["branch"]]
     return df.withColumn(f"{node.id}__branch_id", branch(branches))
 
 
@@ -179,11 +190,103 @@ def _prompt(df: DataFrame, node: Node) -> DataFrame:
 
 
 def _tool(df: DataFrame, node: Node) -> DataFrame:
-    """A registered column function over named inputs."""
-    args = {k: _value(v, df) for k, v in node.config.get("inputs", {}).items()}
+    """A registered column function over named inputs, each coerced to the type its "as" names; what is no such value is null."""
+    args = {k: COERCIONS[v.get("as", "string")](_value(v, df)) for k, v in node.config.get("inputs", {}).items()}
     return df.withColumn(f"{node.id}__result", node.config["function"](**args))
 
 
+def _search(df: DataFrame, node: Node) -> DataFrame:
+    """Retrieval for all requests at once. config: key (a column that tells requests apart), rows (candidates: id,
+    paragraph_id, embedding), paragraphs (paragraph_id, title, content, and hit_handling_method and
+    directly_return_similarity where documents are returned directly), embed (column of text to column of vectors),
+    question (a path), top_n, similarity, most_chars.
+
+    Gives paragraph_list, is_hit_handling_method_list (those returned directly), data (the context, cut) and
+    directly_return; requests without a hit have empty ones."""
+    c, key = node.config, node.config["key"]
+    queries = df.where(F.col(f"{node.id}__reached")).select(F.col(key).cast("string").alias("query_id"), c["embed"](reference(c["question"])).alias("query_vector"))
+    hits = search_many(c["rows"], queries, c.get("similarity", 0.6), c.get("top_n", 3)).join(c["paragraphs"], "paragraph_id")
+    hits = hits.select("query_id", "paragraph_id", "score", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"),
+        *[(F.col(n) if n in hits.columns else F.lit(None)).cast(kind).alias(n) for n, kind in (("hit_handling_method", "string"), ("directly_return_similarity", "double"))])
+    direct = F.coalesce((F.col("hit_handling_method") == "directly_return") & (F.col("score") > F.col("directly_return_similarity")), F.lit(False))
+    shown = F.struct("paragraph_id", "title", "content", "score")
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), "paragraph_id", direct.alias("direct"), shown.alias("p"))))
+    per = hits.groupBy("query_id").agg(ordered.alias("h"))
+    part = lambda p: F.concat(F.lit("#### "), p["title"], F.lit("\n"), p["content"])
+    own = per.select(
+        "query_id",
+        F.transform("h", lambda x: x["p"]).alias("l"),
+        F.transform(F.filter("h", lambda x: x["direct"]), lambda x: x["p"]).alias("r"),
+    )
+    new = own.select(
+        F.col("query_id").alias("__key"),
+        F.col("l").alias(f"{node.id}__paragraph_list"),
+        F.col("r").alias(f"{node.id}__is_hit_handling_method_list"),
+        F.substring(F.array_join(F.transform("l", part), "\n"), 1, c.get("most_chars", 5000)).alias(f"{node.id}__data"),
+        F.array_join(F.transform("r", lambda p: p["content"]), "\n").alias(f"{node.id}__directly_return"),
+    )
+    return _joined(df, new, key, node)
+
+
+def _joined(df: DataFrame, new: DataFrame, key: str, node: Node) -> DataFrame:
+    """Columns of a node by request; requests without a row have empty lists and texts."""
+    out = df.join(new, df[key].cast("string") == new["__key"], "left").drop("__key")
+    for f in new.schema.fields:
+        if f.name != "__key":
+            out = out.withColumn(f.name, F.coalesce(f.name, F.array().cast(f.dataType) if isinstance(f.dataType, T.ArrayType) else F.lit("")))
+    return out
+
+
+def _rerank(df: DataFrame, node: Node) -> DataFrame:
+    """Documents of earlier nodes (references to paragraph lists) by falling score of config's scorer (query, content),
+    cut to top_n, similarity and max_paragraph_char. Gives document_list, result_list and result."""
+    c, key = node.config, node.config["key"]
+    lists = [F.coalesce(F.transform(reference(r), lambda p: F.struct(p["paragraph_id"].alias("paragraph_id"), p["title"].alias("title"), p["content"].alias("content"))), F.array()) for r in c["references"]]
+    kind = "array<struct<paragraph_id: string, title: string, content: string>>"
+    df = df.withColumn(f"{node.id}__document_list", F.concat(*[x.cast(kind) for x in lists]))
+    asked = df.where(F.col(f"{node.id}__reached")).select(F.col(key).cast("string").alias("__key"), reference(c["question"]).alias("q"), F.posexplode(f"{node.id}__document_list").alias("place", "p"))
+    docs = asked.select("__key", "q", "place", "p.*")
+    cut = budget_cut(reranked(docs, c["scorer"], F.col("q")), c.get("max_paragraph_char", 5000), c.get("top_n", 3), c.get("similarity", 0.0), "__key", "place")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", F.struct("paragraph_id", "title", "content", "score").alias("p"))))
+    new = cut.groupBy("__key").agg(F.transform(ordered, lambda x: x["p"]).alias(f"{node.id}__result_list"))
+    new = new.withColumn(f"{node.id}__result", F.array_join(F.transform(f"{node.id}__result_list", lambda p: p["content"]), "\n"))
+    return _joined(df, new, key, node)
+
+
+#: Fixed value: what stands between the texts of several files.
+FILE_RULE = "\n`-----------------------------------`\n"
+
+
+def _extract(df: DataFrame, node: Node) -> DataFrame:
+    """Texts of files (a reference to an array of name and content), each under its name; unreadable files are left out."""
+
+    @F.pandas_udf("string")
+    def texts(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda files: FILE_RULE.join(f"### {f['name']}\n{text}" for f in (files if files is not None else []) if (text := file_text(f["name"], f["content"])) is not None))
+
+    return df.withColumn(f"{node.id}__content", texts(reference(node.config["files"])))
+
+
+def _form(df: DataFrame, node: Node) -> DataFrame:
+    """A form: what was submitted, JSON in the column that config's data names, or null while it waits. Nodes after it are
+    reached once it is submitted; a later run of the same requests with data goes on from there."""
+    data = F.col(node.config["data"])
+    out = df.withColumn(f"{node.id}__is_submit", data.isNotNull()).withColumn(f"{node.id}__form_data", data)
+    for name in node.config.get("fields", []):
+        out = out.withColumn(f"{node.id}__{name}", F.get_json_object(data, f"$.{name}"))
+    return out
+
+
+def _application(df: DataFrame, node: Node) -> DataFrame:
+    """Another flow, with a question of this one; its answer is the first one that its answer nodes (paths) give."""
+    c = node.config
+    inner = c["flow"].run(df.select("*", reference(c["question"]).alias("__question")).drop("question").withColumnRenamed("__question", "question"), c.get("custom"))
+    # the inner flow's nodes may be named like this one's
+    answer = F.coalesce(*[reference(a) for a in c["answers"]])
+    kept = inner.select(F.col(c["key"]).cast("string").alias("__key"), answer.alias(f"{node.id}__answer"))
+    return _joined(df, kept, c["key"], node)
+
+
 #: Node type -> (rows, node) -> rows with the node's columns.
 NODES: dict[str, Callable[[DataFrame, Node], DataFrame]] = {
     START: _start,
@@ -194,6 +297,11 @@ NODES: dict[str, Callable[[DataFrame, Node], DataFrame]] = {
     "question-node": _prompt,
     "tool-node": _tool,
     "tool-lib-node": _tool,
+    "search-knowledge-node": _search,
+    "reranker-node": _rerank,
+    "document-extract-node": _extract,
+    FORM: _form,
+    "application-node": _application,
 }
 #: Results of typed inputs: what is no such value is null.
 COERCIONS: dict[str, Callable[[Column], Column]] = {

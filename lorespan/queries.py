@@ -5,6 +5,8 @@ Records delivered again count once: both sides keep the newest row of an id. Dou
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespan.functions import fulltext, predicates, status, text, vector
-from lorespan.operators import maintain, relational, reports, search
+from lorespan.operators import maintain, problems, relational, reports, search
+from lorespan.session import scratch_dir
 from lorespan.plans.flow import Edge, Flow, Node
 from lorespan.sources.split import split_documents
 from lorespan.sources.tables import table
+from lorespan.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,7 +64,14 @@ def _recs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _embs(s: SparkSession, d: str) -> DataFrame:
-    return relational.current(table(s, d, "embedding"), by=[])
+    """Rows as they come: a row delivered again scores the same, and the best row of a paragraph counts, so searches filter
+    on the scan and never rank all vectors by id."""
+    return table(s, d, "embedding")
+
+
+def _emb_keys(s: SparkSession, d: str) -> DataFrame:
+    """Embedding rows, each once, without vectors and tokens."""
+    return table(s, d, "embedding").drop("embedding", "tokens").distinct()
 
 
 #: A query vector for reports: fixed, so that both sides have it.
@@ -101,25 +112,47 @@ def search_prefiltered(s: SparkSession, d: str) -> DataFrame:
     return search.search(rows, "embedding", PROBE, threshold=-2, top_n=20).select("paragraph_id", F.round("score", 5).alias("score"))
 
 
-@query()
+#: Cover-density ranks of "draft policy or 冷却": spans between neighbouring places of two words, and places of a phrase.
+_RANKS_SQL = """, t as (select row_number() over () as r, * from (select distinct id, paragraph_id, tokens, embedding from emb where is_active)),
+    u as (select r, unnest(tokens) as tok, generate_subscripts(tokens, 1) as i from t),
+    m as (select r, tok, i, lag(tok) over (partition by r order by i) as before, lag(i) over (partition by r order by i) as j from u where tok in ('draft', 'policy')),
+    one as (select r, sum(0.2 / (i - j + 1)) as x from m where before <> tok group by r),
+    two as (select r, count(*) * 0.1 as x from (select r, tok, lead(tok) over (partition by r order by i) as after from u) where tok = '冷' and after = '却' group by r),
+    ranks as (select r, max(x) / (max(x) + 1) as rank from (select * from one union all select * from two) group by r)"""
+
+
+@query(_with("embedding", more=_RANKS_SQL) + "select paragraph_id, round(max(rank), 6) as score from t join ranks using (r) where paragraph_id is not null group by 1 having max(rank) > 0 order by max(rank) desc, paragraph_id limit 50")
 def keyword_search(s: SparkSession, d: str) -> DataFrame:
     rows = search.candidates(_embs(s, d))
     return search.search(rows, "keywords", query_text="draft policy or 冷却", threshold=0.0, top_n=50).select("paragraph_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_with("embedding", more=_RANKS_SQL) + f""", mixed as (select paragraph_id, list_cosine_similarity(embedding::double[], {_PROBE_SQL}) + coalesce(rank, 0) as score from t left join ranks using (r)
+    where paragraph_id is not null and len(embedding) = 64 and list_inner_product(embedding::double[], embedding::double[]) > 0)
+    select paragraph_id, round(max(score), 5) as score from mixed group by 1 having max(score) > 0.2 order by max(score) desc, paragraph_id limit 50""")
 def blend_search(s: SparkSession, d: str) -> DataFrame:
     rows = search.candidates(_embs(s, d)).where(vector.dims("embedding") == 64)
-    return search.search(rows, "blend", PROBE, "draft policy or 冷却", threshold=0.2, top_n=50).select("paragraph_id", F.round("score", 6).alias("score"))
+    return search.search(rows, "blend", PROBE, "draft policy or 冷却", threshold=0.2, top_n=50).select("paragraph_id", F.round("score", 5).alias("score"))
 
 
-@query(_with("embedding", "paragraph", more=", " + _SCORED) + """, best as (select paragraph_id, max(score) as score from scored group by paragraph_id having max(score) > 0.25 order by max(score) desc, paragraph_id limit 10)
+@query(_with("embedding", "paragraph", "document", more=", " + _SCORED.replace("from emb\n", "from emb anti join (select id as document_id from doc where not is_active) using (document_id)\n")) + """, best as (select paragraph_id, max(score) as score from scored group by paragraph_id having max(score) > 0.25 order by max(score) desc, paragraph_id limit 10)
     select b.paragraph_id, round(b.score, 5) as score, p.title, p.content, p.document_id from best b join par p on p.id = b.paragraph_id""")
 def hit_test(s: SparkSession, d: str) -> DataFrame:
     rows = search.candidates(_embs(s, d)).where(vector.dims("embedding") == 64)
-    hits = search.search(rows, "embedding", PROBE, threshold=0.25, top_n=10)
-    pars = _pars(s, d).select(F.col("id").alias("paragraph_id"), "title", "content", "document_id")
-    return hits.join(pars, "paragraph_id").select("paragraph_id", F.round("score", 5).alias("score"), "title", "content", "document_id")
+    hits = search.hit_test(rows, _pars(s, d), _docs(s, d), mode="embedding", query_vector=PROBE, threshold=0.25, top_n=10)
+    return hits.select("paragraph_id", F.round("score", 5).alias("score"), "title", "content", "document_id")
+
+
+@query(_with("embedding", more=""", q as (select id, any_value(embedding::double[]) as v from emb where is_active and len(embedding) = 64 and list_inner_product(embedding::double[], embedding::double[]) > 0 and paragraph_id is not null group by id)
+    """) + """select 'q' || n as query_id, paragraph_id, round(score, 5) as score, rank::bigint as rank from (
+        select n, paragraph_id, score, row_number() over (partition by n order by score desc, paragraph_id) as rank from (
+            select n, e.paragraph_id, max(list_cosine_similarity(q.v, list_transform(range(64), lambda i: ((i * (37 + n)) % 64 - 31.5) / 100)::double[])) as score
+            from q join (select distinct id, paragraph_id from emb) e using (id), range(6) as r(n) group by n, e.paragraph_id) where score > 0.2) where rank <= 4""")
+def search_batch(s: SparkSession, d: str) -> DataFrame:
+    """Several query vectors at once."""
+    rows = search.candidates(_embs(s, d)).where(vector.dims("embedding") == 64)
+    queries = s.createDataFrame([(f"q{n}", [((i * (37 + n)) % 64 - 31.5) / 100 for i in range(64)]) for n in range(6)], "query_id string, query_vector array<double>")
+    return search.search_many(rows, queries, 0.2, 4).select("query_id", "paragraph_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
@@ -152,13 +185,59 @@ def context_pipeline(s: SparkSession, d: str) -> DataFrame:
     return search.context_pipeline(_hits(s, d), 3000, "knowledge_id")
 
 
-@query(_with("paragraph", "document", more=", h as (select p.id as paragraph_id, round(length(p.content) % 97 / 97.0, 4) as score, x.hit_handling_method, x.directly_return_similarity from par p join doc x on x.id = p.document_id where length(p.content) > 0), f as (select *, hit_handling_method = 'directly_return' and score >= directly_return_similarity as direct from h)")
-       + "select paragraph_id, score from f where coalesce(direct, false) order by score desc, paragraph_id limit 1")
-def direct_return_pick(s: SparkSession, d: str) -> DataFrame:
+_DIRECT_SQL = _with("paragraph", "document", more=", h as (select p.id as paragraph_id, round(length(p.content) % 97 / 97.0, 4) as score, x.hit_handling_method, x.directly_return_similarity from par p join doc x on x.id = p.document_id where length(p.content) > 0), f as (select *, coalesce(hit_handling_method = 'directly_return' and score {op} directly_return_similarity, false) as direct from h)")
+
+
+def _direct_hits(s: SparkSession, d: str) -> DataFrame:
     docs = _docs(s, d).select(F.col("id").alias("document_id"), "hit_handling_method", "directly_return_similarity")
-    hits = _pars(s, d).where(F.length("content") > 0).select("document_id", F.col("id").alias("paragraph_id"), F.round(F.length("content") % 97 / F.lit(97.0), 4).alias("score")).join(docs, "document_id")
-    direct = hits.where((F.col("hit_handling_method") == "directly_return") & (F.col("score") >= F.col("directly_return_similarity")))
-    return direct.orderBy(F.desc("score"), "paragraph_id").limit(1).select("paragraph_id", "score")
+    score = F.round(F.length("content") % 97 / F.lit(97.0), 4)
+    return _pars(s, d).where(F.length("content") > 0).select("document_id", F.col("id").alias("paragraph_id"), score.alias("score")).join(docs, "document_id")
+
+
+@query(_DIRECT_SQL.replace("{op}", ">=") + "select paragraph_id, score from f where direct order by score desc, paragraph_id limit 1")
+def direct_return_pick(s: SparkSession, d: str) -> DataFrame:
+    return search.direct_return(_direct_hits(s, d)).select("paragraph_id", "score")
+
+
+@query(_DIRECT_SQL.replace("{op}", ">") + "select paragraph_id, score from f where direct order by score desc, paragraph_id limit 1")
+def direct_return_strict(s: SparkSession, d: str) -> DataFrame:
+    return search.direct_return(_direct_hits(s, d), strict=True).select("paragraph_id", "score")
+
+
+@query(_DIRECT_SQL.replace("{op}", ">") + "select paragraph_id, score from f")
+def direct_return_none(s: SparkSession, d: str) -> DataFrame:
+    """No hit can reach its limit, so all come back."""
+    return search.direct_return(_direct_hits(s, d).withColumn("directly_return_similarity", F.lit(2.0))).select("paragraph_id", "score")
+
+
+@query(_with("paragraph", "application_chat_record") + """, w as (select content, round(length(content) % 97 / 97.0, 4) as score, id from par where length(content) > 0),
+    a as (select *, row_number() over (partition by content order by id) as k from w), b as (select content, score, row_number() over (partition by content order by score desc) as k from w)
+    select a.id as paragraph_id, b.score from a join b using (content, k)""")
+def rerank_reattached(s: SparkSession, d: str) -> DataFrame:
+    """Texts scored alone get their paragraphs back; equal texts are paired in order."""
+    docs = _pars(s, d).where(F.length("content") > 0).select(F.col("id").alias("paragraph_id"), "content")
+    scored = search.reranked(docs.select("content"), lambda q, c: F.round(F.length(c) % 97 / F.lit(97.0), 4), F.lit("q"))
+    return search.reattached(scored, docs).select("paragraph_id", "score")
+
+
+@query("select embedding_model_id as model, count(*) as bases from knowledge group by 1")
+def single_model_guard(s: SparkSession, d: str) -> DataFrame:
+    """Each model's knowledge bases pass the guard together."""
+    k = table(s, d, "knowledge")
+    models = [r[0] for r in k.select("embedding_model_id").distinct().collect()]
+    rows = []
+    for m in models:
+        of = F.col("embedding_model_id").eqNullSafe(m)
+        ids = [r[0] for r in k.where(of).select("id").collect()]
+        rows.append((search.single_model(k, ids), len(ids)))
+    return s.createDataFrame(rows, "model string, bases long")
+
+
+@query(_with("application_chat_record") + """select id, message, answer_text, coalesce(list_contains(['-1'], vote_status), false) as open from rec where message = (select min(message) from rec where length(message) > 20)""")
+def same_question_records(s: SparkSession, d: str) -> DataFrame:
+    recs = _recs(s, d)
+    first = recs.where(F.length("message") > 20).agg(F.min("message")).first()[0]
+    return recs.where(F.col("message") == first).select("id", "message", "answer_text", predicates.one_of_or_null(F.col("vote_status"), ["-1"]).alias("open"))
 
 
 @query(_with("paragraph") + """select p.document_id, p.id as paragraph_id, p.knowledge_id, 0 as source_type, q.id as source_id, q.content as text, p.is_active from par p, unnest(p.problem_list) as u(q)
@@ -167,14 +246,22 @@ def embedding_text_union(s: SparkSession, d: str) -> DataFrame:
     return search.embedding_texts(_pars(s, d)).select("document_id", "paragraph_id", "knowledge_id", "source_type", "source_id", "text", "is_active")
 
 
-@query()
+_CHUNK_MARK = "(?s).{1,256}[。 |\\\\.！;；!\\n]"
+
+
+@query(_with("paragraph") + f""", x as (select p.id as paragraph_id, 0 as source_type, q.id as source_id, q.content as text from par p, unnest(p.problem_list) as u(q) union select id, 1, id, concat_ws(chr(10), title, content) from par),
+    r as (select paragraph_id, source_type, source_id, text, regexp_extract_all(text, '{_CHUNK_MARK}') as runs, regexp_split_to_array(text, '{_CHUNK_MARK}') as rests from x where source_type = 1 and text is not null),
+    rest as (select * exclude (rests, runs), unnest(rests) as y from r), a as (select * exclude (rests, runs), unnest(runs) as c from r union all select * exclude (y), unnest(regexp_extract_all(y, '(?s).{{1,256}}')) from rest),
+    b as (select paragraph_id, source_type, source_id, regexp_replace(c, '^[\\s\\v\\p{{Z}}\\x{{1c}}-\\x{{1f}}\\x{{85}}]+|[\\s\\v\\p{{Z}}\\x{{1c}}-\\x{{1f}}\\x{{85}}]+$', '', 'g') as text from a)
+    select * from b where length(text) > 0 union all select paragraph_id, source_type, source_id, text from x where source_type = 0""")
 def chunked_texts(s: SparkSession, d: str) -> DataFrame:
-    return search.chunked(search.embedding_texts(_pars(s, d)))
+    return search.chunked(search.embedding_texts(_pars(s, d))).select("paragraph_id", "source_type", "source_id", "text")
 
 
-@query(_with("embedding", "paragraph") + "select e.id from emb e anti join par p on p.id = e.paragraph_id")
+@query(_with("embedding", "paragraph") + "select distinct e.id from emb e anti join (select * from par where is_active) p on p.id = e.paragraph_id")
 def stale_embeddings(s: SparkSession, d: str) -> DataFrame:
-    return relational.without(_embs(s, d), _pars(s, d).select(F.col("id").alias("paragraph_id")), "paragraph_id").select("id")
+    """Embeddings whose paragraph is gone; a paragraph that was switched off counts as gone here."""
+    return relational.without(_emb_keys(s, d), _pars(s, d).where("is_active").select(F.col("id").alias("paragraph_id")), "paragraph_id").select("id")
 
 
 # --- reports ---
@@ -250,15 +337,19 @@ def paragraph_enrich(s: SparkSession, d: str) -> DataFrame:
     return _pars(s, d).where("hit_num > 5").join(k, "knowledge_id", "left").join(x, "document_id", "left").select("id", "title", "document_name", "knowledge_name")
 
 
-@query(_with("application_chat", "application_chat_record", "paragraph") + """, res as (select r.id as record_id, count(p.id) as improved from (select id, unnest(improve_paragraph_id_list) as pid from rec) r join par p on p.id = r.pid group by 1)
-    select c.id as chat_id, c.abstract, r.id as record_id, r.record_index, r.message, r.answer_text, r.vote_status, coalesce(res.improved, 0) as improved from chat c left join rec r on r.chat_id = c.id left join res on res.record_id = r.id""")
+@query(_with("application_chat", "application_chat_record", "paragraph") + """, res as (select r.id as record_id, count(p.id) as improved, md5(string_agg(p.id || chr(31) || coalesce(p.title, '') || chr(31) || coalesce(p.content, ''), chr(30) order by p.id)) as digest from (select id, unnest(improve_paragraph_id_list) as pid from rec) r join par p on p.id = r.pid group by 1)
+    select c.id as chat_id, c.abstract, r.id as record_id, r.record_index, r.message, r.answer_text, r.vote_status, coalesce(res.improved, 0) as improved, res.digest from chat c left join rec r on r.chat_id = c.id left join res on res.record_id = r.id""")
 def chat_export(s: SparkSession, d: str) -> DataFrame:
     out = reports.chat_export(_chats(s, d), _recs(s, d), _pars(s, d))
-    n = F.coalesce(F.json_array_length("improve_paragraph_list"), F.lit(0)).cast("long")
-    return out.select("chat_id", "abstract", "record_id", "record_index", "message", "answer_text", "vote_status", n.alias("improved"))
+    found = F.from_json("improve_paragraph_list", "array<struct<paragraph_id: string, title: string, content: string>>")
+    text_of = F.array_join(F.transform(found, lambda p: F.concat_ws("\x1f", p["paragraph_id"], F.coalesce(p["title"], F.lit("")), F.coalesce(p["content"], F.lit("")))), "\x1e")
+    n = F.coalesce(F.size(found), F.lit(0)).cast("long")
+    return out.select("chat_id", "abstract", "record_id", "record_index", "message", "answer_text", "vote_status", n.alias("improved"), F.when(n > 0, F.md5(text_of)).alias("digest"))
 
 
-@query()
+@query(_with("document", "paragraph") + """, sheet as (select id, name || case when n > 0 then '-' || n else '' end as sheet from (select id, name, row_number() over (partition by name order by id) - 1 as n from doc)),
+    q as (select p.id, string_agg(t.q.content, chr(10) order by t.k) as problems from par p, (select unnest(p.problem_list) as q, generate_subscripts(p.problem_list, 1) as k) as t group by 1)
+    select s.sheet, p.sort_position, p.id as paragraph_id, """ + ", ".join(f"case when regexp_matches({c}, '^[=+\\-@]') then chr(65279) || {c} else {c} end as {n}" for c, n in (("p.title", "title"), ("p.content", "content"), ("coalesce(q.problems, '')", "problems"))) + " from par p join sheet s on s.id = p.document_id left join q on q.id = p.id")
 def document_export(s: SparkSession, d: str) -> DataFrame:
     return reports.document_export(_docs(s, d), _pars(s, d))
 
@@ -335,10 +426,12 @@ def branch_conditions(s: SparkSession, d: str) -> DataFrame:
 @query("""with r as (select doc_id, regexp_extract_all(text, '(?s).{1,256}[。 |\\\\.！;；!\\n]') as runs, regexp_split_to_array(text, '(?s).{1,256}[。 |\\\\.！;；!\\n]') as rests from documents where text is not null),
     rest as (select doc_id, unnest(rests) as x from r), cut as (select doc_id, unnest(regexp_extract_all(x, '(?s).{1,256}')) as c from rest), a as (select doc_id, unnest(runs) as c from r union all select * from cut),
     b as (select doc_id, regexp_replace(c, '^[\\s\\v\\p{Z}\\x{1c}-\\x{1f}\\x{85}]+|[\\s\\v\\p{Z}\\x{1c}-\\x{1f}\\x{85}]+$', '', 'g') as c from a)
-    select doc_id, count(*) as chunks, sum(length(c))::bigint as chars from b where length(c) > 0 group by doc_id""")
+    select doc_id, count(*) as chunks, sum(length(c))::bigint as chars, md5(string_agg(c, chr(31) order by c)) as digest from b where length(c) > 0 group by doc_id""")
 def chunk_counts(s: SparkSession, d: str) -> DataFrame:
-    chunks = table(s, d, "documents").select("doc_id", F.explode(text.mark_chunks("text")).alias("c"))
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("c")).alias("chars"))
+    """Numbers and lengths of chunks, and a digest of all of them in order of text."""
+    chunks = table(s, d, "documents").select("doc_id", text.mark_chunks("text").alias("c")).where(F.size("c") > 0)
+    chars = F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    return chunks.select("doc_id", F.size("c").cast("long").alias("chunks"), chars.alias("chars"), F.md5(F.array_join(F.array_sort("c"), "\x1f")).alias("digest"))
 
 
 @query("select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\n+', chr(10), 'g'), ' +', ' ', 'g'), '#+', '', 'g'), '\\t+', '', 'g') as cleaned from documents")
@@ -394,8 +487,7 @@ def json_path_filter(s: SparkSession, d: str) -> DataFrame:
 
 @query(_with("application_chat_record") + "select chat_id, id from (select chat_id, id, row_number() over (partition by chat_id order by create_time desc nulls last, id desc) as n from rec) where n <= 3")
 def history_last_n(s: SparkSession, d: str) -> DataFrame:
-    w = search.W.partitionBy("chat_id").orderBy(F.desc_nulls_last("create_time"), F.desc("id"))
-    return _recs(s, d).withColumn("n", F.row_number().over(w)).where("n <= 3").select("chat_id", "id")
+    return relational.last_n(_recs(s, d), "chat_id", "create_time", 3, tie="id").select("chat_id", "id")
 
 
 @query(_with("document") + "select knowledge_id, max_by(id, (create_time, id)) as id from doc group by knowledge_id")
@@ -433,7 +525,7 @@ def retention_cutoff(s: SparkSession, d: str) -> DataFrame:
 
 @query(_with("embedding", "paragraph") + "select e.id, coalesce(p.is_active, e.is_active) as is_active from emb e left join par p on p.id = e.paragraph_id")
 def propagated_active(s: SparkSession, d: str) -> DataFrame:
-    return maintain.propagated_active(_embs(s, d), _pars(s, d)).select("id", "is_active")
+    return maintain.propagated_active(_emb_keys(s, d), _pars(s, d)).select("id", "is_active")
 
 
 @query(_with("paragraph", "document") + "select id from par where document_id not in (select id from doc where is_active) and document_id is not null")
@@ -455,14 +547,12 @@ def folder_descendants(s: SparkSession, d: str) -> DataFrame:
     g as (select user_id, ts, sum(s) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as n from e)
     select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as records from g group by user_id, n""")
 def session_windows(s: SparkSession, d: str) -> DataFrame:
-    runs = table(s, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("records"))
-    return runs.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "records")
+    return streams.sessions(table(s, d, "events"), key="user_id", time="ts")
 
 
 @query("select user_id, ts::date::varchar as day, count(*) as used, count(*) >= 3 as exhausted from events group by 1, 2")
 def quota_daily(s: SparkSession, d: str) -> DataFrame:
-    days = table(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("used"))
-    return days.withColumn("exhausted", F.col("used") >= 3).withColumn("day", F.col("day").cast("string"))
+    return streams.daily_quota(table(s, d, "events"), 3, key="user_id", time="ts").withColumn("day", F.col("day").cast("string"))
 
 
 @query(_with("application_chat_record") + """select id, case when length(coalesce(message, '')) = 0 then 'ask' when length(message) >= 60 then 'long' else 'short' end as way, case when length(coalesce(message, '')) = 0 then 'Please ask.' when length(message) >= 60 then 'L:' || message else 'S:' || message end as answer from rec""")
@@ -476,26 +566,23 @@ def flow_batch(s: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.col("c__branch_id").alias("way"), F.coalesce("ra__answer", "rl__answer", "rs__answer").alias("answer"))
 
 
-@query()
+@query(ORACLES["chat_counters"])
 def stream_counters(s: SparkSession, d: str) -> DataFrame:
-    """Counters of the whole record table, read as a stream until it ends."""
-    import os
-    import uuid
-
-    from lorespan.session import scratch_dir
-    from lorespan.streaming import streams
-
+    """Counters of the whole record table, read as a stream until it ends; each record as it came last."""
+    name = f"{scratch_dir(s)}/counters-{uuid.uuid4().hex}"
     path = f"{d}/application_chat_record.parquet"
     folder = path if os.path.isdir(path) else f"{d}/application_chat_record*.parquet"
-    schema = s.read.parquet(path).schema
-    stream = s.readStream.schema(schema).parquet(folder)
-    name = f"counters_{uuid.uuid4().hex}"
-    return streams.drained(streams.chat_counters(stream.dropDuplicates(["id"])), name, f"{scratch_dir(s)}/{name}")
+    stream = s.readStream.schema(s.read.parquet(path).schema).parquet(folder)
+    streams.newest_to(stream, f"{name}/rows", f"{name}/checkpoint").awaitTermination()
+    return streams.chat_counters(streams.latest_of(s, f"{name}/rows"))
 
 
 def queries() -> dict[str, Query]:
+    from lorespan import queries_more  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

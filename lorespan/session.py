@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -26,22 +28,34 @@ def local_session(cpus: str = "8", memory: str = "12g", shuffle_partitions: int
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local mode)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, which is
+    removed at exit; on a cluster a machine's own folder would lose the rows of other machines, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lorespan-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="lorespan-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        folder = "file://" + path
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, and outlives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, and outlives lost executors. Tables of one
+    application lie in a folder of its own, so that whoever ends the application can remove them at once (clean_scratch)."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_scratch(spark: SparkSession) -> None:
+    """Remove what materialize() wrote for this application; for the end of a job, as results may still read it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def n_tasks(spark: SparkSession) -> int:
     """Shuffle partitions to ask for where a plan repartitions by hand; never fewer than the cluster's cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -162,8 +162,9 @@ def archive_members(raw: bytes) -> Iterator[tuple[str, bytes]]:
                 yield name, z.read(info)
 
 
-def parse_file(name: str, raw: bytes, patterns: list[str] | None = None, with_filter: bool = False, limit: int = MOST_LIMIT) -> list[tuple[str, list[Paragraph]]]:
-    """(document name, paragraphs) of a file; an archive gives those of its members. Unreadable files give none."""
+def parse_file(name: str, raw: bytes, patterns: list[str] | None = None, with_filter: bool = False, limit: int = MOST_LIMIT, errors: list[tuple[str, str]] | None = None) -> list[tuple[str, list[Paragraph]]]:
+    """(document name, paragraphs) of a file; an archive gives those of its members. Unreadable files give none, and their
+    name and error in errors."""
     low, base = name.lower(), os.path.basename(name)
     split = lambda text, kind=name: Splitter(patterns or patterns_for(kind), with_filter, limit).split(text)
     try:
@@ -176,14 +177,26 @@ def parse_file(name: str, raw: bytes, patterns: list[str] | None = None, with_fi
         if low.endswith(".csv"):
             return [(base, [("", b) for b in table_blocks(csv_rows(raw), limit)])]
         if low.endswith(".zip"):
-            return [x for n, r in archive_members(raw) for x in parse_file(n, r, patterns, with_filter, limit)]
-        if low.endswith((".md", ".txt")) or b"\0" not in raw[:4096]:
+            return [x for n, r in archive_members(raw) for x in parse_file(n, r, patterns, with_filter, limit, errors)]
+        if low.endswith((".md", ".txt")) or b"\0" not in raw:
             return [(base, split(decode(raw)))]
-    except (KeyError, ValueError, zipfile.BadZipFile, ET.ParseError, csv.Error):
-        pass
+        problem = "no text, and of no known kind"
+    except (KeyError, ValueError, zipfile.BadZipFile, ET.ParseError, csv.Error) as e:
+        problem = f"{type(e).__name__}: {e}"
+    if errors is not None:
+        errors.append((base, problem))
     return []
 
 
+def file_text(name: str, raw: bytes) -> str | None:
+    """All text of a file, of paragraphs with their titles; None if it can't be read."""
+    errors: list[tuple[str, str]] = []
+    found = parse_file(name, bytes(raw), errors=errors)
+    if errors and not found:
+        return None
+    return "\n".join("\n".join(filter(None, (t.strip(), c))) for _, ps in found for t, c in ps)
+
+
 def parse_qa(name: str, raw: bytes) -> list[tuple[str, str, list[str]]]:
     """(title, content, problems) of Q&A sheets: columns by header, else title, content, problems in this order."""
     low = name.lower()
@@ -221,29 +234,54 @@ def parse_table(name: str, raw: bytes) -> list[str]:
     return out
 
 
-def _each_file(spark: SparkSession, path: str, run: Callable[[str, bytes], list[tuple]], columns: list[str], schema: str) -> DataFrame:
+def _each_file(files: DataFrame, run: Callable[[str, bytes], list[tuple]], columns: list[str], schema: str) -> DataFrame:
     def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for p, raw in f.itertuples(index=False):
-                yield pd.DataFrame([(p, *r) for r in run(p, bytes(raw))], columns=["path", *columns])
+                yield pd.DataFrame([(p, *r) for r in run(p, bytes(raw))] if raw is not None else [], columns=["path", *columns])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(go, f"path string, {schema}")
 
 
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of every file below a path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def paragraphs_of(files: DataFrame, patterns: list[str] | None = None, with_filter: bool = False, limit: int = MOST_LIMIT) -> DataFrame:
+    """path, name, ordinal, title, content, error of files (path, content). A file or member that can't be read has one row
+    with its error and nothing else."""
+
+    def run(p: str, raw: bytes) -> list[tuple]:
+        errors: list[tuple[str, str]] = []
+        found = parse_file(p, raw, patterns, with_filter, limit, errors)
+        return [(n, i, t, c, None) for n, ps in found for i, (t, c) in enumerate(ps)] + [(n, None, None, None, e) for n, e in errors]
+
+    return _each_file(files, run, ["name", "ordinal", "title", "content", "error"], "name string, ordinal int, title string, content string, error string")
+
+
+def qa_of(files: DataFrame) -> DataFrame:
+    """path, ordinal, title, content, problems of question-and-answer sheets (path, content)."""
+    run = lambda p, raw: [(i, *r) for i, r in enumerate(parse_qa(p, raw))]
+    return _each_file(files, run, ["ordinal", "title", "content", "problems"], "ordinal int, title string, content string, problems array<string>")
+
+
+def table_rows_of(files: DataFrame) -> DataFrame:
+    """path, ordinal, content of tables (path, content), a row of text for each of theirs."""
+    return _each_file(files, lambda p, raw: list(enumerate(parse_table(p, raw))), ["ordinal", "content"], "ordinal int, content string")
+
+
 def read_paragraphs(spark: SparkSession, path: str, patterns: list[str] | None = None, with_filter: bool = False, limit: int = MOST_LIMIT) -> DataFrame:
-    """path, name, ordinal, title, content of every file below a path."""
-    run = lambda p, raw: [(n, i, t, c) for n, ps in parse_file(p, raw, patterns, with_filter, limit) for i, (t, c) in enumerate(ps)]
-    return _each_file(spark, path, run, ["name", "ordinal", "title", "content"], "name string, ordinal int, title string, content string")
+    """paragraphs_of() of every file below a path."""
+    return paragraphs_of(binary_files(spark, path), patterns, with_filter, limit)
 
 
 def read_qa(spark: SparkSession, path: str) -> DataFrame:
-    run = lambda p, raw: [(i, *r) for i, r in enumerate(parse_qa(p, raw))]
-    return _each_file(spark, path, run, ["ordinal", "title", "content", "problems"], "ordinal int, title string, content string, problems array<string>")
+    return qa_of(binary_files(spark, path))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return _each_file(spark, path, lambda p, raw: list(enumerate(parse_table(p, raw))), ["ordinal", "content"], "ordinal int, content string")
+    return table_rows_of(binary_files(spark, path))
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lorespan.operators import reports
+from lorespan.operators.relational import current
+
 
 def read_tables(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A folder of Parquet files as a stream."""
@@ -25,24 +28,20 @@ def once_each(records: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def chat_counters(records: DataFrame) -> DataFrame:
-    """Counters per chat; write in update mode."""
-    return records.groupBy("chat_id").agg(
-        F.count("id").alias("chat_record_count"),
-        F.sum(F.when(F.col("vote_status") == "0", 1).otherwise(0)).alias("star_num"),
-        F.sum(F.when(F.col("vote_status") == "1", 1).otherwise(0)).alias("trample_num"),
-    )
+    """Counters per chat; write in update mode. The records must come once each; for those delivered again see newest_to()."""
+    return reports.chat_counters(records)
 
 
-def daily_quota(records: DataFrame, limit: int, late: str = "2 hours") -> DataFrame:
-    """Requests per chat and day, reset at midnight, and whether the quota is used up."""
-    days = records.withWatermark("create_time", late).groupBy(F.window("create_time", "1 day"), "chat_id").agg(F.count("*").alias("used"))
-    return days.select(F.col("window.start").cast("date").alias("day"), "chat_id", "used", (F.col("used") >= limit).alias("exhausted"))
+def daily_quota(records: DataFrame, limit: int, late: str = "2 hours", key: str = "chat_id", time: str = "create_time") -> DataFrame:
+    """Requests per key and day, reset at midnight, and whether the quota is used up."""
+    days = records.withWatermark(time, late).groupBy(F.window(time, "1 day"), key).agg(F.count("*").alias("used"))
+    return days.select(F.col("window.start").cast("date").alias("day"), key, "used", (F.col("used") >= limit).alias("exhausted"))
 
 
-def sessions(records: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    """Runs of records of a chat with no gap of that length."""
-    runs = records.withWatermark("create_time", late).groupBy(F.session_window("create_time", gap), "chat_id").agg(F.count("*").alias("records"))
-    return runs.select("chat_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "records")
+def sessions(records: DataFrame, gap: str = "30 minutes", late: str = "1 day", key: str = "chat_id", time: str = "create_time") -> DataFrame:
+    """Runs of records of a key with no gap of that length."""
+    runs = records.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("records"))
+    return runs.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "records")
 
 
 def votes(events: DataFrame) -> DataFrame:
@@ -61,6 +60,39 @@ def votes(events: DataFrame) -> DataFrame:
     return events.groupBy("record_id").applyInPandasWithState(step, "record_id string, vote_status string", "vote_status string", "update", GroupStateTimeout.NoTimeout)
 
 
+def live(events: DataFrame, life: str, late: str = "10 minutes") -> DataFrame:
+    """Items (id, create_time, life in minutes by its column) as they expire: each comes out once, with its time of expiry,
+    when the watermark has passed that. Renewed items (delivered again) live on from their last time."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            end = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"id": [key[0]], "expired_at": [pd.Timestamp(end, unit="ms")]})
+            return
+        end = state.get[0] if state.exists else 0
+        for f in frames:
+            end = max(end, int((f["create_time"].astype("datetime64[ms]").astype("int64") + f[life].astype("int64") * 60_000).max()))
+        state.update((end,))
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+    return events.withWatermark("create_time", late).groupBy("id").applyInPandasWithState(step, "id string, expired_at timestamp", "expires long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def newest_to(stream: DataFrame, target: str, checkpoint: str, key: str = "id"):
+    """A bounded or endless stream of records into a folder of Parquet: each batch's newest row of a key. Readers take the
+    newest of all batches (latest_of), so a record delivered again counts as it came last, and no state is kept."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        current(batch, key).withColumn("__batch", F.lit(number)).write.mode("append").parquet(target)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_of(spark: SparkSession, target: str, key: str = "id") -> DataFrame:
+    return current(spark.read.parquet(target), key).drop("__batch")
+
+
 def ingest(files: DataFrame, parse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
     """New files of a stream, parsed batch by batch and appended."""
 

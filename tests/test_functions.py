@@ -92,7 +92,7 @@ def test_cosine(spark):
     [
         ("eq", "a", "a", True), ("eq", None, "None", True), ("contain", "abc", "b", True), ("contain", None, "b", False), ("not_contain", None, "b", True),
         ("ge", "10", "9", True), ("gt", "abc", "1", False), ("lt", None, "1", False), ("le", "1.5", "1.5", True), ("len_eq", "abc", "3", True), ("len_gt", "abc", "x", False), ("len_le", "abc", "3", True),
-        ("is_null", "", None, True), ("is_null", None, None, True), ("is_not_null", "a", None, True), ("is_true", "true", None, True), ("is_true", None, None, False), ("is_not_true", "false", None, True), ("is_not_true", None, None, False),
+        ("is_null", "", None, True), ("is_null", None, None, True), ("is_not_null", "a", None, True), ("is_true", "true", None, False), ("is_true", None, None, False), ("is_not_true", "false", None, False), ("is_not_true", None, None, False),
     ],
 )
 def test_comparisons(spark, op, x, value, want):

@@ -7,7 +7,9 @@ import sys
 
 import pytest
 
-from lorespan.operators import maintain, relational, reports, search, sinks
+from lorespan import session
+from lorespan.functions import predicates
+from lorespan.operators import maintain, problems, relational, reports, search, sinks
 from lorespan.plans.flow import Edge, Flow, Node
 from lorespan.streaming import streams
 from pyspark.sql import functions as F
@@ -73,8 +75,61 @@ def test_contexts_rerank_and_models(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, query_vector array<float>")
     v = spark.createDataFrame([("e", "p", [1.0, 0.0])], "id string, paragraph_id string, embedding array<float>")
     assert rows(search.search_many(v, q, 0.5, 3)) == [("q", "p", 1.0, 1)]
-    with pytest.raises(ValueError):
-        search.search_many(v, q.crossJoin(spark.range(10_001)), 0.5, 3)
+
+
+def test_many_queries_in_blocks(spark, emb, monkeypatch):
+    monkeypatch.setattr(search, "MOST_QUERIES", 2)
+    q = spark.createDataFrame([(f"q{i}", [1.0, i / 4]) for i in range(9)] + [("zero", [0.0, 0.0]), ("long", [1.0] * 3), ("none", None)], "query_id string, query_vector array<double>")
+    got = rows(search.search_many(emb, q, 0.5, 2).select("query_id", "paragraph_id", "rank", F.round("score", 6)))
+    want = []
+    for i in range(9):
+        one = search.search(emb, "embedding", [1.0, i / 4], threshold=0.5, top_n=2).collect()
+        want += [(f"q{i}", r.paragraph_id, n + 1, round(r.score, 6)) for n, r in enumerate(one)]
+    assert got == sorted(want, key=str) and len(want) > 9
+    assert search.search_many(emb.limit(0), q, 0.5, 2).count() == 0 and search.search_many(emb, q.limit(0), 0.5, 2).count() == 0
+
+
+def test_problems(spark):
+    q = "array<struct<id: string, content: string>>"
+    par = spark.createDataFrame([("p1", "k1", "d1", [("q2", "same"), ("q3", "own")]), ("p2", "k1", "d1", [("q1", "same"), ("q9", None)]), ("p3", "k2", "d2", [("q4", "own")]), ("p4", "k2", "d2", None)], f"id string, knowledge_id string, document_id string, problem_list {q}")
+    problem, mapping = problems.normalised(par)
+    assert rows(problem) == [("q1", "k1", "same"), ("q3", "k1", "own"), ("q4", "k2", "own")]
+    assert rows(mapping.select("problem_id", "paragraph_id")) == [("q1", "p1"), ("q1", "p2"), ("q3", "p1"), ("q4", "p3")]
+    left, kept = problems.left_over(problem, mapping, spark.createDataFrame([("p1",)], "paragraph_id string"))
+    assert rows(left.select("id")) == [("q1",), ("q4",)] and kept.count() == 2
+    moves = spark.createDataFrame([("p1", "k2", "d9")], "paragraph_id string, target_id string, target_document_id string")
+    assert {(r.content, r.problem_id if not r.created else "new", r.knowledge_id) for r in problems.remapped(problem, mapping, moves).collect()} == {("same", "new", "k2"), ("own", "q4", "k2")}
+    assert problems.of_paragraphs(par, problem, mapping).where("size(problems) = 0").count() == 1
+
+
+def test_predicates_of_arrays_names_and_days(spark):
+    d = spark.createDataFrame([(["a", "b"], T0, "The X", None, False), ([], T0 + dt.timedelta(hours=47, minutes=59), "y", "the", None), (None, None, None, None, True)], "l array<string>, t timestamp, name string, description string, is_deleted boolean")
+    got = d.select(predicates.any_of(F.col("l"), ["b", "c"]), predicates.all_of(F.col("l"), ["a", "b"]), predicates.all_of(F.col("l"), []), predicates.days_between(F.col("t"), "2025-01-01", "2025-01-02"), predicates.named_or_described("THE"), predicates.not_deleted(), predicates.contains(F.col("name"), "The")).collect()
+    assert [tuple(r) for r in got] == [(True, True, True, True, True, True, True), (False, False, True, True, True, True, False), (False, False, False, False, False, False, False)]
+    b = spark.createDataFrame([(True,), (False,), (None,)], "x boolean").select(predicates.compare("is_true", F.col("x")), predicates.compare("is_not_true", F.col("x")), predicates.compare("is_true", F.lit("true")))
+    assert [tuple(r) for r in b.collect()] == [(True, False, False), (False, True, False), (False, False, False)]
+
+
+def test_runs_and_maps(spark):
+    d = spark.createDataFrame([("c", 1, "a", "x"), ("c", 2, "a", None), ("c", 3, None, "y"), ("c", 4, None, "z"), ("c", 5, "a", "w")], "chat string, at int, kind string, t string")
+    assert rows(relational.runs(d, "chat", ["at"], "kind", "t", "+")) == [("c", 1, "a", "x+", 2), ("c", 2, None, "y+z", 2), ("c", 3, "a", "w", 1)]
+    m = spark.range(1).select(relational.merged_maps(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3))).alias("m"), relational.flattened(F.array(F.array(F.lit(1)), F.lit(None), F.array(F.lit(2), F.lit(3)))).alias("f")).first()
+    assert m.m == {"a": 1, "b": 3} and m.f == [1, 2, 3]
+    assert spark.createDataFrame([("{}",), (None,), ("x",), ('{"n": {"message_tokens": 2}, "m": {"message_tokens": 3, "answer_tokens": 4}}',)], "d string").select(reports.tokens_of_details(F.col("d")).alias("t")).select("t.*").collect() == [(0, 0), (0, 0), (0, 0), (5, 4)]
+
+
+def test_scratch_is_refused_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        get = staticmethod(lambda k, d=None: None)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.scratch_dir(Session())
 
 
 def test_relational(spark):
@@ -153,8 +208,8 @@ def test_flow(spark):
 
 
 def test_streams_equal_batches(spark, tmp_path):
-    data = [(f"r{i}", f"c{i % 3}", str(i % 2), T0 + dt.timedelta(minutes=(i * 37) % 300)) for i in range(60)]
-    df = spark.createDataFrame(data, "id string, chat_id string, vote_status string, create_time timestamp")
+    data = [(f"r{i}", f"c{i % 3}", str(i % 2), T0 + dt.timedelta(minutes=(i * 37) % 300), ["p"] * (i % 2)) for i in range(60)]
+    df = spark.createDataFrame(data, "id string, chat_id string, vote_status string, create_time timestamp, improve_paragraph_id_list array<string>")
     df.repartition(5).write.parquet(str(tmp_path / "in"))
     stream = streams.read_tables(spark, str(tmp_path / "in"))
     got = streams.drained(streams.chat_counters(stream), "t_counters", str(tmp_path / "c1"))
@@ -169,6 +224,37 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60
 
 
+def test_retrieval_nodes(spark, emb):
+    pars = spark.createDataFrame([("p1", "T1", "one two", "directly_return", 0.9), ("p2", None, "three", "optimization", 0.9)], "paragraph_id string, title string, content string, hit_handling_method string, directly_return_similarity double")
+    req = spark.createDataFrame([(1, "a", None), (2, "b", '{"n": 5}'), (3, None, None)], "id int, question string, sent string")
+    embed = lambda c: F.when(c == "a", F.array(F.lit(1.0), F.lit(0.0))).when(c == "b", F.array(F.lit(-1.0), F.lit(0.0)))
+    nodes = [Node("start", "start-node"), Node("k", "search-knowledge-node", {"key": "id", "rows": search.candidates(emb), "paragraphs": pars, "embed": embed, "question": ["start", "question"], "similarity": 0.5})]
+    nodes += [Node("r", "reranker-node", {"key": "id", "references": [["k", "paragraph_list"]], "question": ["start", "question"], "scorer": lambda q, c: F.length(c).cast("double"), "top_n": 1, "max_paragraph_char": 4}), Node("f", "form-node", {"data": "sent", "fields": ["n"]}), Node("e", "reply-node", {"value": "{{f.n}}"})]
+    out = Flow(nodes, [Edge("start", "k"), Edge("k", "r"), Edge("r", "f"), Edge("f", "e")]).run(req).orderBy("id").collect()
+    assert [p.paragraph_id for p in out[0].k__paragraph_list] == ["p1", "p2"] and out[0].k__data == "#### T1\none two\n#### \nthree" and out[0].k__directly_return == "one two"
+    assert out[0].r__result == "one " and out[1].k__paragraph_list == [] and out[1].r__result == "" and out[2].k__data == ""
+    assert [r.e__answer for r in out] == [None, "5", None]
+
+
+def test_expiry_stream(spark, tmp_path):
+    data = [("a", T0, 30), ("a", T0 + dt.timedelta(minutes=20), 30), ("b", T0, 600), ("c", T0 + dt.timedelta(hours=3), 1)]
+    df = spark.createDataFrame(data, "id string, create_time timestamp, life int")
+    for i, part in enumerate([df.where("id <> 'c'"), df.where("id = 'c'")]):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.read_tables(spark, str(tmp_path / "in"), 10)
+        q = streams.live(streams.read_tables(spark, str(tmp_path / "in"), 10), "life").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = {r.id: r.expired_at for r in spark.read.schema("id string, expired_at timestamp").parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": T0 + dt.timedelta(minutes=50)}
+
+
+def test_newest_of_a_stream(spark, tmp_path):
+    for n, rows_ in enumerate([[("r", 1, T0), ("s", 1, T0)], [("r", 2, T0 + dt.timedelta(1))], [("s", 0, T0 - dt.timedelta(1))]]):
+        spark.createDataFrame(rows_, "id string, n int, update_time timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    streams.newest_to(streams.read_tables(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert rows(streams.latest_of(spark, str(tmp_path / "out")).select("id", "n")) == [("r", 2), ("s", 1)]
+
+
 def test_entry_works_without_the_training_data_operators(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['lorespan.llm'] = None\nimport __spark_entry__ as e\nq, o = e.queries(), e.oracle_sql()\nassert q and not any(k.startswith('p4') for k in q) and set(o) <= set(q)"

@@ -1,10 +1,13 @@
 """Splitting by headings, files of all kinds, web pages and crawls."""
 
 import io
+import random
+import re
 import zipfile
 
+from lorespan.functions.text import MARKDOWN_PATTERNS, PLAIN_PATTERNS
 from lorespan.sources import files, web
-from lorespan.sources.split import PLAIN_PATTERNS, Splitter, pack_lines, split_documents
+from lorespan.sources.split import Splitter, cut_at_periods, pack_lines, split_documents
 
 MD = "intro\n# A\nalpha\n## A1\none\n## A2\ntwo\n# B\n\n# C\nend"
 
@@ -90,7 +93,70 @@ def test_documents_and_archives(spark, tmp_path):
     (tmp_path / "p.txt").write_text("one\n\ntwo")
     (tmp_path / "q.html").write_bytes('<meta charset="gbk"><h1>标题</h1><p>正文</p>'.encode("gbk"))
     rows = files.read_paragraphs(spark, str(tmp_path)).collect()
-    assert sorted((r.name, r.title, r.content.strip()) for r in rows) == [("a.md", " H", "body"), ("p.txt", "", "one"), ("p.txt", "", "two"), ("q.html", " 标题", "正文")]
+    assert sorted((r.name, r.title, r.content.strip()) for r in rows if r.error is None) == [("a.md", " H", "body"), ("p.txt", "", "one\n\ntwo"), ("q.html", " 标题", "正文")]
+    assert [(r.name, r.ordinal, r.content) for r in rows if r.error] == [("b.docx", None, None)]
+
+
+def test_text_files_have_headings_but_coding_lines():
+    text = "# -*- coding: utf-8 -*-\n# A\nx\n## B\ny"
+    assert [t for t, _ in files.parse_file("p.txt", text.encode())[0][1]] == ["", " A", " A  B"]
+    assert [t for t, _ in files.parse_file("p.md", text.encode())[0][1]][1:] == [" A", " A  B"]
+    assert files.file_text("a.txt", b"# A\nx") == "A\n\nx" and files.file_text("a.docx", b"broken") is None
+    late = b"a" * 5000 + b"\0"
+    errors = []
+    assert files.parse_file("a.bin", late, errors=errors) == [] and errors[0][0] == "a.bin"
+
+
+def test_pieces_end_at_periods():
+    assert cut_at_periods("", 5) == [] and cut_at_periods("abc", 5) == ["abc"] and cut_at_periods("abcdefg", 3) == ["abc", "def", "g"]
+    assert cut_at_periods("a. bcd. efghij", 6) == ["a.", " bcd.", " efghi", "j"]
+    rng = random.Random(2)
+    for _ in range(300):
+        t, n = "".join(rng.choices("ab. ", k=rng.randint(0, 60))), rng.randint(1, 12)
+        pieces = cut_at_periods(t, n)
+        assert "".join(pieces) == t and all(0 < len(p) <= n for p in pieces)
+        assert all(p.endswith(".") or "." not in p for p in pieces[:-1])
+
+
+def _by_rules(text, patterns, limit):
+    """The eight rules, told anew over a nested list: [heading, children] or a text."""
+    compiled = [re.compile(p) for p in patterns]
+
+    def parse(part, level):
+        names = next((n for n in ([m[0][:255] for m in p.finditer(part) if m[0]] for p in compiled[level:]) if n), [])
+        if not names:
+            return pack_lines(part, limit)
+        if level == 0 and not part.lstrip().startswith(names[0].lstrip()):
+            names = ["", *names]
+        strays, out, at = [], [], 0
+        for i, n in enumerate(names):
+            place = part.find(n, at)
+            if place < 0:
+                continue
+            strays = pack_lines(part[at:place], limit)[::-1] + strays
+            stop = part.find(names[i + 1], place + len(n)) if i + 1 < len(names) else len(part)
+            at = len(part) if stop < 0 else stop
+            body = part[place + len(n) : at]
+            below = parse(body, level + 1) if body else []
+            first = (below[0] if isinstance(below[0], str) else below[0][0]) if below else ""
+            if (lead := body.lstrip().find(first.lstrip())) > 0:
+                below = below + parse(body[:lead], level + 1)
+            out.append([n, below])
+        return strays + out
+
+    def rows(nodes, chain):
+        return [r for x in nodes for r in ([(chain, x)] if isinstance(x, str) else rows(x[1], (*chain, x[0])))]
+
+    return rows(parse(text, 0), ())
+
+
+def test_leaves_follow_the_rules():
+    rng = random.Random(1)
+    parts = ["# A\n", "## B\n", "### C\n", "# A", "\n", "text ", "line.\n", "  \n", "# AB\n", "#### D\n", "x" * 30, "word word\n", "# " + "t" * 260 + "\n"]
+    for _ in range(2000):
+        t, limit = "".join(rng.choices(parts, k=rng.randint(1, 14))), rng.choice([50, 100_000])
+        got = [(chain, b) for _, chain, b in Splitter(limit=limit).leaves(t)]
+        assert got == _by_rules(t, MARKDOWN_PATTERNS, limit), t
 
 
 def test_html_and_selectors():
