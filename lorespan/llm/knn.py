@@ -8,8 +8,11 @@ are reranked by exact cosine.
 Layout: cells that lie near each other form blocks of about BLOCK_ROWS vectors (a cell over that is divided by hash), and
 a task holds one block. In its own block a vector meets the cells of its traversal that lie there. Each other cell lies
 behind a bisecting plane between its centroids and the vector's own; if that plane is farther away than SLACK times the
-last neighbour that the vector holds, the cell is dropped (SLACK = 1 loses no neighbour of the traversal), and the vector is sent to the blocks of
-the rest. Requests of one block are divided into parts of REQUEST_ROWS, so hot blocks don't meet in one task.
+last neighbour that the vector holds, the cell is dropped, and the vector is sent to the blocks of the rest. At SLACK = 1
+no neighbour of the traversal is lost; as it ships, SLACK is DEVIATIONS / sqrt(dims): the share of its distance that lies in
+one given direction has a standard deviation of 1 / sqrt(dims) for a neighbour in any direction, so one in thirty thousand
+lies beyond a plane at four of these. A request carries its vector as 16-bit floats, which changes a similarity by some
+0.0001 at most. Requests of one block are divided into parts of REQUEST_ROWS, so hot blocks don't meet in one task.
 
 Equal vectors are one entry of the index: it lists at most K_SOURCES ids of a source and twice as many in all, which is
 all that any search for k neighbours of other sources can need; the ids beyond are answered from the same list, which may
@@ -41,8 +44,10 @@ FIT_ROUNDS = 8
 CANDIDATES = 500
 BLOCK_ROWS = 25_000
 REQUEST_ROWS = 50_000
-#: Share of the distance to the last neighbour held within which a cell's plane must lie for its block to be asked.
-SLACK = 1
+#: A cell's plane must lie within so many standard deviations of a direction's share for its block to be asked.
+DEVIATIONS = 4
+#: What 16-bit floats may take from a similarity.
+ROUNDING = 1e-4
 MOST_CENTROIDS = 1024
 SALTS = 32
 
@@ -132,6 +137,12 @@ def _unit(col: pd.Series) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _halves(col: pd.Series) -> np.ndarray:
+    """Unit vectors of requests."""
+    v = np.frombuffer(b"".join(col), dtype=np.float16).reshape(len(col), -1).astype(np.float64)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
 def _listed(rows: list[tuple[float, str, int | None]], k: int) -> list[tuple[float, str, int | None]]:
     """Of (-similarity, id, source), sorted: at most k of a source and 2 k in all."""
     out, of = [], {}
@@ -201,10 +212,11 @@ def usable(df: DataFrame, dims: int) -> DataFrame:
     return df.where(ok).select("id", F.when(F.col("source_id").isNotNull(), F.xxhash64("source_id")).alias("source"), v.alias("vec"), F.xxhash64(v).alias("v1"), F.xxhash64(F.reverse(v)).alias("v2"))
 
 
-def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CANDIDATES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CANDIDATES, block_rows: int = BLOCK_ROWS, slack: float | None = None) -> DataFrame:
     """id, neighbour, similarity, rank (from 1): the k best rows of other sources for every usable row."""
     spark = df.sparkSession
     rows = usable(df, dims)
+    slack = min(1.0, DEVIATIONS / dims**0.5) if slack is None else slack
     # vectors of more rows than a list may hold; they are few, or each stands for many rows
     hot_keys = materialize(rows.groupBy("v1", "v2").agg(F.count("*").alias("n")).where(F.col("n") > 2 * k).select("v1", "v2"), "knn-hot")
     any_hot = not hot_keys.isEmpty()
@@ -259,7 +271,8 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
     def at_home(f: pd.DataFrame) -> pd.DataFrame:
         ix, block = full.value, Block(f)
         here, out = int(f["block"].iloc[0]), []
-        v1, v2, vec, is_hot = (block.f[c].tolist() for c in ("v1", "v2", "vec", "hot"))
+        v1, v2, is_hot = (block.f[c].tolist() for c in ("v1", "v2", "hot"))
+        small = [v.tobytes() for v in block.unit.astype(np.float16)]
         for a, b in block.span.values():
             for at in range(a, b, 2048):
                 end = min(at + 2048, b)
@@ -278,7 +291,7 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                     least = min((-b[-1][0] if len(b) == k else -np.inf for b in best), default=-np.inf)
                     if hot:
                         least = -got[-1][0] if len(got) == 2 * k else -np.inf
-                    reach = (max(2 - 2 * least, 0) + 1e-6) * SLACK**2
+                    reach = (max(2 - 2 * least, 0) + 1e-6) * slack**2
                     asked: dict[int, list[int]] = {}
                     for c in way:
                         if n1[c // ix.k] + n2[c % ix.k] <= reach:
@@ -287,14 +300,14 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
                                 if o != here:
                                     asked.setdefault(o, []).append(c)
                     if asked or hot:
-                        out.append((v1[r], v2[r], None, None, float(least), [{"id": i, "source": x} for i, x in m], _near(got if hot else sorted({g for b in best for g in b})), [{"block": o, "cells": c} for o, c in asked.items()], vec[r] if asked else None, hot))
+                        out.append((v1[r], v2[r], None, None, float(least), [{"id": i, "source": x} for i, x in m], _near(got if hot else sorted({g for b in best for g in b})), [{"block": o, "cells": c} for o, c in asked.items()], small[r] if asked else None, hot))
                     else:
                         for (i, _), b in zip(m, best, strict=True):
                             out.append((None, None, i, [{"id": g[1], "sim": -g[0]} for g in b], None, None, None, None, None, None))
         # as objects: keys beside nulls would become floats
         return pd.DataFrame(out, dtype=object, columns=["v1", "v2", "id", "best", "least", "members", "near", "asked", "vec", "hot"])
 
-    home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, least double, members array<struct<id: string, source: bigint>>, {NEAR}, asked array<struct<block: int, cells: array<long>>>, vec array<float>, hot boolean"
+    home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, least float, members array<struct<id: string, source: bigint>>, {NEAR}, asked array<struct<block: int, cells: array<int>>>, vec binary, hot boolean"
     home = materialize(blocked.groupBy("block").applyInPandas(at_home, home_type), "knn-home")
     settled = home.where(F.col("id").isNotNull()).select("id", "best")
     open_ = home.where(F.col("id").isNull())
@@ -311,8 +324,8 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
         block, out = Block(e), []
         q = q.assign(key=[tuple(sorted(x)) for x in q["cells"]])
         for key, f in q.groupby("key", sort=False):
-            for a, b, least, got in zip(f["v1"], f["v2"], f["least"], block.search(_unit(f["vec"]), block.rows_of(list(key)), k), strict=True):
-                if better := [g for g in got if -g[0] >= least - 1e-9]:
+            for a, b, least, got in zip(f["v1"], f["v2"], f["least"], block.search(_halves(f["vec"]), block.rows_of(list(key)), k), strict=True):
+                if better := [g for g in got if -g[0] >= least - ROUNDING]:
                     out.append((a, b, _near(better)))
         return pd.DataFrame(out, columns=["v1", "v2", "near"])
 
