@@ -439,7 +439,17 @@ def clean_filter(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", text.clean("text").alias("cleaned"))
 
 
-@query()
+def _plain_sql(column: str) -> str:
+    """The passes in RE2's words: its dot takes all but a line feed, and its white space is ASCII without the vertical tab."""
+    any_, space, wide = r"[^\n\r\x{85}\x{2028}\x{2029}]", r"[\s\v]", r"[\s\v\p{Z}\x{1c}-\x{1f}\x{85}]"
+    out = f"array_to_string(list_filter(string_split({column}, chr(10)), lambda x: length(regexp_replace(x, '{wide}+', '', 'g')) > 0), chr(10))"
+    passes = [(rf"!\[{any_}*?\]\({any_}*?\)", ""), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (rf"(?m)^#{{1,6}}{space}+", ""), (rf"\*\*({any_}*?)\*\*", r"\1"), (rf"__({any_}*?)__", r"\1"), (rf"\*({any_}*?)\*", r"\1"), (rf"_({any_}*?)_", r"\1"), (rf"`({any_}*?)`", r"\1"), (r"(?s)```.*?```", ""), (r"\n{2,}", "\n"), (r"<[^>]+>", ""), (f"{wide}+", " ")]
+    for pattern, new in passes:
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    return f"regexp_replace({out}, '^{wide}+|{wide}+$', '', 'g')"
+
+
+@query(f"select doc_id, {_plain_sql('text')} as plain from documents")
 def markdown_plain(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", text.speakable("text").alias("plain"))
 
@@ -465,7 +475,10 @@ def heading_split(s: SparkSession, d: str) -> DataFrame:
     return split_documents(table(s, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query("""with p as (select doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '([\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]+)', ' \\1 ', 'g'), '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]+|[\\p{L}\\p{N}]+')) as w from documents where text is not null),
+    t as (select doc_id, w from p where not regexp_matches(w, '^[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]') union all select doc_id, substring(w, i::int, n::int) from (select *, unnest(range(1, length(w) + 1)) as i from p where regexp_matches(w, '^[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]')), range(1, 3) as r(n) where i + n <= length(w) + 1),
+    k as (select distinct doc_id, w from t where w not in ('the', 'a', 'of', 'and'))
+    select d.doc_id, case when d.text is not null then coalesce(string_agg(k.w, ' ' order by encode(k.w)), '') end as words from documents d left join k using (doc_id) group by d.doc_id, d.text""")
 def token_keywords(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.array_join(F.array_sort(text.keywords("text", ["the", "a", "of", "and"])), " ").alias("words"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespan.functions import predicates, status, text
+from lorespan.functions import documents, predicates, registered, status, text
 from lorespan.operators import maintain, problems, relational, reports, search, sinks
 from lorespan.plans.flow import Edge, Flow, Node
 from lorespan.queries import _GRANTS_SQL, _HITS_SQL, ORACLES, _chats, _docs, _emb_keys, _grants, _hits, _pars, _recs, _with, query
@@ -255,8 +256,39 @@ def period_pieces(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(pieces("text")).alias("piece_no", "text"))
 
 
+@query("select doc_id, substring(text, 1, 255) as title, substring(text, 1, 1024) as abstract, substring(text, 1, 10240) as question, substring(text, 1, 40960) as answer, substring(text, 1, 102400) as content from documents")
+def capped_texts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", *[documents.capped("text", k).alias(k) for k in ("title", "abstract", "question", "answer", "content")])
+
+
+@query(_with("document") + "select id, json_extract_string(m, '$.state') as state, json_extract_string(m, '$.n') as n, json_extract_string(m, '$.source_url') as source_url, null::varchar as gone from (select id, json_merge_patch(coalesce(meta, '{}'), json_object('state', status, 'n', length(name))) as m from doc)")
+def json_keys_set(s: SparkSession, d: str) -> DataFrame:
+    """Two keys set, one of them deleted again from a copy."""
+    changed = documents.json_set("meta", state=F.to_json(F.struct(F.col("status").alias("s"))), n=F.length("name").cast("string"))
+    rows = _docs(s, d).select("id", changed.alias("m"))
+    return rows.select("id", F.get_json_object("m", "$.state.s").alias("state"), F.get_json_object("m", "$.n").alias("n"), F.get_json_object("m", "$.source_url").alias("source_url"), F.get_json_object(documents.json_without("m", "n", "state"), "$.n").alias("gone"))
+
+
+@query()
+def split_in_sql(s: SparkSession, d: str) -> DataFrame:
+    """The table function and a tool under their SQL names."""
+    registered.register(s, {"shouted": (lambda t: t.str.upper(), "string")})
+    table(s, d, "documents").createOrReplaceTempView("documents_to_split")
+    return s.sql("select d.doc_id, p.ordinal, shouted(p.title) as title, p.content from documents_to_split d, lateral split_text(d.text) p")
+
+
 # --- maintenance ---
 
+_FAILED_SQL = "f as (select document_id, bool_or(substring(reverse(coalesce(status, '')), 1, 1) = '3') as failed from par group by 1), d as (select *, case when length(coalesce(status, '')) < 3 then lpad(coalesce(status, ''), 3, 'n') else status end as st from doc)"
+
+
+@query(_with("document", "paragraph", more=", " + _FAILED_SQL) + "select d.id, substring(st, 1, length(st) - 1) || case when right(st, 1) = '4' then '5' when coalesce(f.failed, false) then '3' else '2' end as status from d left join f on f.document_id = d.id")
+def task_finalised(s: SparkSession, d: str) -> DataFrame:
+    """The embedding task's last state of each document, by its paragraphs' states."""
+    failed = _pars(s, d).groupBy("document_id").agg(F.max(status.state("status", status.EMBEDDING) == status.FAILURE).alias("failed"))
+    rows = _docs(s, d).join(failed.withColumnRenamed("document_id", "id"), "id", "left")
+    return rows.select("id", status.finalized("status", status.EMBEDDING, F.coalesce("failed", F.lit(False))).alias("status"))
+
 
 @query(_with("paragraph") + "select id, translate(case when length(coalesce(status, '')) < 3 then lpad(coalesce(status, ''), 3, 'n') else status end, '014', '333') as status from par")
 def status_finalised(s: SparkSession, d: str) -> DataFrame:
@@ -419,6 +451,29 @@ def archive_import(s: SparkSession, d: str) -> DataFrame:
     return files.paragraphs_of(packed).select(F.regexp_replace("path", r"\.zip$", "").alias("archive"), "name", "content")
 
 
+@query("select md5(text) as digest, min(doc_id) as doc_id, min(strlen(text)) as n_bytes from documents where text is not null group by text")
+def file_store(s: SparkSession, d: str) -> DataFrame:
+    """Contents stored once, as ZIP, and read again."""
+    rows = table(s, d, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.col("text").cast("binary").alias("content"))
+    stored = maintain.stored_once(rows).select("doc_id", sinks.compressed("content").alias("stored"))
+    return stored.select("doc_id", sinks.uncompressed("stored").alias("c")).select(F.md5("c").alias("digest"), "doc_id", F.length("c").cast("long").alias("n_bytes"))
+
+
+@query("select r_name as book, n_name as sheet, (row_number() over (partition by n_name order by s_name))::int as row_no, s_name as title, chr(10) || '<' || s_suppkey || ' & co>' as content from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def workbook_export(s: SparkSession, d: str) -> DataFrame:
+    """A workbook for each region with a sheet for each nation: written, and read by the source."""
+    rows = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    content = F.concat(F.lit("\n<"), F.col("s_suppkey").cast("string"), F.lit(" & co>"))
+    books = sinks.workbooks(rows.select(F.col("r_name").alias("book"), F.col("n_name").alias("sheet"), F.col("s_name").alias("place"), F.col("s_name").alias("title"), content.alias("content")), "book", ["title", "content"])
+
+    def read(frames):
+        for f in frames:
+            out = [(b, name, i, *r) for b, raw in f.itertuples(index=False) for name, lines, _ in files.sheets(bytes(raw)) for i, r in enumerate(lines) if i]
+            yield pd.DataFrame(out, columns=["book", "sheet", "row_no", "title", "content"])
+
+    return books.mapInPandas(read, "book string, sheet string, row_no int, title string, content string")
+
+
 # --- dataflows ---
 
 

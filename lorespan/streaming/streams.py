@@ -79,6 +79,31 @@ def live(events: DataFrame, life: str, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("create_time", late).groupBy("id").applyInPandasWithState(step, "id string, expired_at timestamp", "expires long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def reasoning(chunks: DataFrame, start: str = "<think>", end: str = "</think>") -> DataFrame:
+    """Chunks (record_id, seq, text) of answers as they come, split into reasoning and answer. A chunk's end that may begin a
+    tag waits for the next chunk; a chunk with is_end true gives what waits. Only the first pair of tags counts."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        phase, held = state.get if state.exists else (0, "")
+        out = []
+        for r in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples(index=False):
+            held += r.text or ""
+            parts = ["", ""]  # answer, reasoning
+            while phase < 2 and (at := held.find((start, end)[phase])) >= 0:
+                parts[phase % 2] += held[:at]
+                held = held[at + len((start, end)[phase]) :]
+                phase += 1
+            tag = (start, end, "")[phase]
+            wait = 0 if r.is_end else next((n for n in range(min(len(tag) - 1, len(held)), 0, -1) if tag.startswith(held[-n:])), 0)
+            parts[phase % 2] += held[: len(held) - wait]
+            held = held[len(held) - wait :]
+            out.append((key[0], r.seq, parts[1], parts[0]))
+        state.update((phase, held))
+        yield pd.DataFrame(out, columns=["record_id", "seq", "reasoning", "answer"])
+
+    return chunks.groupBy("record_id").applyInPandasWithState(step, "record_id string, seq int, reasoning string, answer string", "phase int, held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def newest_to(stream: DataFrame, target: str, checkpoint: str, key: str = "id"):
     """A bounded or endless stream of records into a folder of Parquet: each batch's newest row of a key. Readers take the
     newest of all batches (latest_of), so a record delivered again counts as it came last, and no state is kept."""

@@ -8,9 +8,10 @@ import sys
 import pytest
 
 from lorespan import session
-from lorespan.functions import predicates
+from lorespan.functions import documents, predicates
 from lorespan.operators import maintain, problems, relational, reports, search, sinks
 from lorespan.plans.flow import Edge, Flow, Node
+from lorespan.sources import files
 from lorespan.streaming import streams
 from pyspark.sql import functions as F
 
@@ -248,6 +249,28 @@ def test_expiry_stream(spark, tmp_path):
     assert got == {"a": T0 + dt.timedelta(minutes=50)}
 
 
+def test_reasoning_of_chunks(spark, tmp_path):
+    texts = {"a": "x<think>why</think>so", "b": "no tags < here", "c": "<think>open", "d": "<think>1</think>2<think>3</think>"}
+    for n in (1, 3, 100):
+        data = [(k, i, t[i * n : i * n + n], (i + 1) * n >= len(t)) for k, t in texts.items() for i in range(-(-len(t) // n))]
+        spark.createDataFrame(data, "record_id string, seq int, text string, is_end boolean").coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+        out = streams.reasoning(streams.read_tables(spark, str(tmp_path / f"in{n}"), 100))
+        got = streams.drained(out, f"t_reasoning_{n}", str(tmp_path / f"c{n}"), "append").orderBy("record_id", "seq").collect()
+        whole = {k: ("".join(r.reasoning for r in got if r.record_id == k), "".join(r.answer for r in got if r.record_id == k)) for k in texts}
+        assert whole == {"a": ("why", "xso"), "b": ("", "no tags < here"), "c": ("open", ""), "d": ("1", "2<think>3</think>")}
+
+
+def test_files_workbooks_and_documents(spark):
+    f = spark.createDataFrame([(bytearray(b"abc"),), (None,), (bytearray(b""),)], "c binary")
+    got = f.select(sinks.uncompressed(sinks.compressed("c")).alias("a"), sinks.uncompressed("c").alias("b")).collect()
+    assert [(r.a and bytes(r.a), r.b and bytes(r.b)) for r in got] == [(b"abc", b"abc"), (None, None), (b"", b"")] or [bytes(r.a) if r.a is not None else None for r in got] == [b"abc", None, b""]
+    raw = sinks.workbook([("A & B", [["h", None], ["x\r\n\x01", "=1"]]), ("C", [])])
+    assert [(n, [list(r) for r in rows_]) for n, rows_, _ in files.sheets(raw)] == [("A & B", [["h", None], ["x\r\n", "=1"]]), ("C", [])]
+    d = spark.createDataFrame([('{"a": 1, "b": {"x": [null]}}',), (None,), ("bad",)], "j string")
+    got = d.select(documents.json_set("j", a=F.lit('"z"'), c=F.lit(None)).alias("s"), documents.json_without("j", "a").alias("w")).collect()
+    assert [(r.s, r.w) for r in got] == [('{"b":{"x":[null]},"a":"z","c":null}', '{"b":{"x":[null]}}'), ('{"a":"z","c":null}', None), ('{"a":"z","c":null}', None)]
+
+
 def test_newest_of_a_stream(spark, tmp_path):
     for n, rows_ in enumerate([[("r", 1, T0), ("s", 1, T0)], [("r", 2, T0 + dt.timedelta(1))], [("s", 0, T0 - dt.timedelta(1))]]):
         spark.createDataFrame(rows_, "id string, n int, update_time timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
