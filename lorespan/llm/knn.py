@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorespan.session import materialize
+from lorespan.session import materialize, n_tasks
 
 #: The bound of the sample on which codebooks are fitted.
 FIT_ROWS = 20_000
@@ -50,6 +50,7 @@ DEVIATIONS = 4
 ROUNDING = 1e-4
 MOST_CENTROIDS = 1024
 SALTS = 32
+MOST_TASKS = 20_000
 
 
 def centroids_for(rows: int) -> int:
@@ -308,7 +309,9 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
         return pd.DataFrame(out, dtype=object, columns=["v1", "v2", "id", "best", "least", "members", "near", "asked", "vec", "hot"])
 
     home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, least float, members array<struct<id: string, source: bigint>>, {NEAR}, asked array<struct<block: int, cells: array<int>>>, vec binary, hot boolean"
-    home = materialize(blocked.groupBy("block").applyInPandas(at_home, home_type), "knn-home")
+    # as many partitions as blocks, so that a task holds one or two of them at any size
+    tasks = min(max(n_tasks(spark), index.n_blocks), MOST_TASKS)
+    home = materialize(blocked.repartition(tasks, "block").groupBy("block").applyInPandas(at_home, home_type), "knn-home")
     settled = home.where(F.col("id").isNotNull()).select("id", "best")
     open_ = home.where(F.col("id").isNull())
 
