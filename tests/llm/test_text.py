@@ -69,6 +69,13 @@ def of_many_scripts():
     return garble.Restorer(*garble.fit((EN + FR + RU + ZH) * 60 + CLEAN * 12 + [t for t, _ in OTHER.values()] * 20))
 
 
+def test_quotation_marks_are_no_letters():
+    rare = EN[0].replace("“done”", "done")
+    r = garble.Restorer(*garble.fit([rare, EN[1], "Der Größe nach: höher, schöner, Größe ö ö ö, dôme côte hôte tôt."] * 60 + ["It is “open” now, “for some” too."]))
+    for text in ("It is “open” now.", "We wait “for some” time."):
+        assert r.restore(text) == (text, [], False)
+
+
 @pytest.mark.parametrize("lang", OTHER)
 @pytest.mark.parametrize("wrong", ["latin-1", "cp1252"])
 def test_any_script_of_the_corpus_is_restored(of_many_scripts, lang, wrong):
