@@ -46,7 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     application lie in a folder of its own, so that whoever ends the application can remove them at once (clean_scratch)."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
