@@ -158,11 +158,31 @@ def _listed(rows: list[tuple[float, str, int | None]], k: int) -> list[tuple[flo
     return out
 
 
+def _merged(f: pd.DataFrame) -> pd.DataFrame:
+    """Rows of equal vectors, which lie side by side, as one with all their members, each once and by id. They are at most
+    2 k ids, delivered again or not, as hot vectors come as one row."""
+    v1, v2 = f["v1"].to_numpy(), f["v2"].to_numpy()
+    new = np.concatenate([[True], (v1[1:] != v1[:-1]) | (v2[1:] != v2[:-1])]) if len(f) else np.zeros(0, dtype=bool)
+    if new.all():
+        return f
+    starts = np.flatnonzero(new)
+    members = f["members"].tolist()
+    merged = []
+    for a, b in zip(starts, [*starts[1:], len(f)], strict=True):
+        if b - a == 1:
+            merged.append(members[a])
+        else:
+            merged.append([{"id": i, "source": x} for i, x in sorted({(m["id"], m["source"]) for r in range(a, b) for m in members[r]}, key=lambda m: m[0])])
+    out = f.iloc[starts].reset_index(drop=True)
+    out["members"] = merged
+    return out
+
+
 class Block:
     """Entries of one block, sorted by cell."""
 
     def __init__(self, f: pd.DataFrame) -> None:
-        f = f.sort_values(["cell", "v1", "v2"], kind="stable", ignore_index=True)
+        f = _merged(f.sort_values(["cell", "v1", "v2"], kind="stable", ignore_index=True))
         self.f, self.unit = f, _unit(f["vec"])
         self.small = self.unit.astype(np.float32)
         cells, starts = np.unique(f["cell"].to_numpy(), return_index=True)
@@ -222,7 +242,8 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
     hot_keys = materialize(rows.groupBy("v1", "v2").agg(F.count("*").alias("n")).where(F.col("n") > 2 * k).select("v1", "v2"), "knn-hot")
     any_hot = not hot_keys.isEmpty()
     cold = rows.join(hot_keys, ["v1", "v2"], "left_anti") if any_hot else rows
-    entries = cold.groupBy("v1", "v2").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_set(F.struct("id", "source"))).alias("members"), F.lit(False).alias("hot"))
+    # equal vectors fall into one block, which makes one entry of them, so they needn't meet before
+    entries = cold.select("v1", "v2", "vec", F.array(F.struct("id", "source")).alias("members"), F.lit(False).alias("hot"))
     if any_hot:
         hot_ids = rows.join(hot_keys, ["v1", "v2"]).select("v1", "v2", "id", "source").distinct()
         by_source = W.partitionBy("v1", "v2", "source").orderBy("id")
