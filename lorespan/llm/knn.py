@@ -330,9 +330,21 @@ def neighbours(df: DataFrame, k: int = 5, dims: int = 64, candidates: int = CAND
         return pd.DataFrame(out, dtype=object, columns=["v1", "v2", "id", "best", "least", "members", "near", "asked", "vec", "hot"])
 
     home_type = f"v1 long, v2 long, id string, best array<struct<id: string, sim: double>>, least float, members array<struct<id: string, source: bigint>>, {NEAR}, asked array<struct<block: int, cells: array<int>>>, vec binary, hot boolean"
-    # as many partitions as blocks, so that a task holds one or two of them at any size
+    def block_by_block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            for block, part in f.groupby("block", sort=True):
+                if held and held[0]["block"].iloc[0] != block:
+                    yield at_home(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(part)
+        if held:
+            yield at_home(pd.concat(held, ignore_index=True))
+
+    # a block's number is its partition, so that a task holds one of them at a time, and with enough tasks only one
     tasks = min(max(n_tasks(spark), index.n_blocks), MOST_TASKS)
-    home = materialize(blocked.repartition(tasks, "block").groupBy("block").applyInPandas(at_home, home_type), "knn-home")
+    placed = blocked.repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int")).sortWithinPartitions("block")
+    home = materialize(placed.mapInPandas(block_by_block, home_type), "knn-home")
     settled = home.where(F.col("id").isNotNull()).select("id", "best")
     open_ = home.where(F.col("id").isNull())
 
