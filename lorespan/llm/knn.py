@@ -42,7 +42,7 @@ from lorespan.session import materialize, n_tasks
 FIT_ROWS = 20_000
 FIT_ROUNDS = 8
 CANDIDATES = 500
-BLOCK_ROWS = 25_000
+BLOCK_ROWS = 40_000
 REQUEST_ROWS = 50_000
 #: A cell's plane must lie within so many standard deviations of a direction's share for its block to be asked.
 DEVIATIONS = 4
