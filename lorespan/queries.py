@@ -379,12 +379,15 @@ def acl_visible(s: SparkSession, d: str) -> DataFrame:
     return reports.visible(table(s, d, "knowledge").select("id", "name"), _grants(s, d), roles, users)
 
 
-@query("""with w as (select unnest(['missing-1', 'missing-2', (select min(id) from knowledge)]) as target_id, 'KNOWLEDGE' as auth_target_type) select * from w where target_id not in (select id from knowledge)""")
+@query("""with w as (select unnest(['missing-1', 'missing-2', (select min(id) from knowledge)]) as target_id, 'KNOWLEDGE' as auth_target_type union all select (select min(id) from knowledge), 'TOOL' union all select '3', 'TOOL' union all select '9', 'MODEL')
+    select * from w where not exists (select * from (select id, 'KNOWLEDGE' as t from knowledge union all select id, 'APPLICATION' from document union all select n_nationkey::varchar, 'TOOL' from nation union all select r_regionkey::varchar, 'MODEL' from region) k where k.id = target_id and k.t = auth_target_type)""")
 def acl_missing_targets(s: SparkSession, d: str) -> DataFrame:
     known = table(s, d, "knowledge").agg(F.min("id")).first()[0]
-    rows = ", ".join(f'{{"target_id": "{t}", "auth_target_type": "KNOWLEDGE"}}' for t in ("missing-1", "missing-2", known))
+    asked = [("missing-1", "KNOWLEDGE"), ("missing-2", "KNOWLEDGE"), (known, "KNOWLEDGE"), (known, "TOOL"), ("3", "TOOL"), ("9", "MODEL")]
+    rows = ", ".join(f'{{"target_id": "{t}", "auth_target_type": "{k}"}}' for t, k in asked)
     wanted = relational.json_rows(s, f"[{rows}]", "target_id: string, auth_target_type: string")
-    return reports.missing_targets(wanted, ("KNOWLEDGE", table(s, d, "knowledge")), ("DOCUMENT", _docs(s, d)))
+    keys = lambda t, c: table(s, d, t).select(F.col(c).cast("string").alias("id"))
+    return reports.missing_targets(wanted, ("KNOWLEDGE", keys("knowledge", "id")), ("APPLICATION", _docs(s, d)), ("TOOL", keys("nation", "n_nationkey")), ("MODEL", keys("region", "r_regionkey")))
 
 
 @query(_with("document") + "select id, name, create_time from doc order by create_time desc nulls first, id limit 20 offset 40")

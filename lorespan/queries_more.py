@@ -13,7 +13,7 @@ from lorespan.operators import maintain, problems, relational, reports, search,
 from lorespan.plans.flow import Edge, Flow, Node
 from lorespan.queries import _GRANTS_SQL, _HITS_SQL, ORACLES, _chats, _docs, _emb_keys, _grants, _hits, _pars, _recs, _with, query
 from lorespan.session import scratch_dir
-from lorespan.sources import files
+from lorespan.sources import files, web
 from lorespan.sources.split import cut_at_periods
 from lorespan.sources.tables import table
 from lorespan.streaming import streams
@@ -474,6 +474,63 @@ def workbook_export(s: SparkSession, d: str) -> DataFrame:
     return books.mapInPandas(read, "book string, sheet string, row_no int, title string, content string")
 
 
+@query("select n_name, '# ' || n_name || chr(10) || chr(10) || 'Nation **' || n_nationkey || '**' as content, 'https://h.example/a/n' || n_nationkey as links from nation")
+def web_parse(s: SparkSession, d: str) -> DataFrame:
+    """Pages of which a selector keeps the main part; links count below the page's address."""
+    number = F.col("n_nationkey").cast("string")
+    html = F.concat(F.lit('<nav><a href="/b">menu</a></nav><div class="main"><h1>'), "n_name", F.lit("</h1><p>Nation <b>"), number, F.lit('</b></p></div><script>x</script>'))
+    pages = table(s, d, "nation").select(F.concat(F.lit("https://h.example/a#"), "n_name").alias("url"), html.alias("html"))
+    got = web.parse_pages(pages, [".main"]).select(F.regexp_extract("url", "#(.*)$", 1).alias("n_name"), "content")
+    linked = table(s, d, "nation").select(F.lit("https://h.example/a").alias("url"), F.concat(F.lit('<div class="main"><a href="/a/n'), number, F.lit('#x">l</a><a href="/b/n">o</a><a href="mailto:x">m</a></div>')).alias("html"), "n_name")
+    links = web.parse_pages(linked.select(F.concat("url", F.lit("#"), "n_name").alias("url"), "html"), [".main"]).select(F.regexp_extract("url", "#(.*)$", 1).alias("n_name"), F.array_join("links", " ").alias("links"))
+    return got.join(links, "n_name")
+
+
+@query("""select 'https://h.example/a' as url, 0 as level union all select 'https://h.example/a/r' || r_regionkey, 1 from region union all select 'https://h.example/a/r' || n_regionkey || '/n' || n_nationkey, 2 from nation""")
+def web_crawl(s: SparkSession, d: str) -> DataFrame:
+    """A site of a root, pages of regions and, below them, of nations, each of which links back and to one more level."""
+    region, nation = table(s, d, "region"), table(s, d, "nation")
+    link = lambda *to: F.concat(F.lit('<a href="'), *to, F.lit('">x</a>'))
+    r, n = F.concat(F.lit("/a/r"), F.col("r_regionkey").cast("string")), F.concat(F.lit("/a/r"), F.col("n_regionkey").cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string"))
+    host = F.lit("https://h.example")
+    root = region.agg(F.array_join(F.collect_list(link(r, F.lit("/"))), "").alias("html")).select(F.concat(host, F.lit("/a")).alias("url"), "html")
+    mid = nation.groupBy("n_regionkey").agg(F.array_join(F.collect_list(link(n, F.lit("#top"))), "").alias("html")).select(F.concat(host, F.lit("/a/r"), F.col("n_regionkey").cast("string")).alias("url"), "html")
+    leaf = nation.select(F.concat(host, n).alias("url"), F.concat(link(F.lit("/a")), link(n, F.lit("/deeper"))).alias("html"))
+    below = nation.select(F.concat(host, n, F.lit("/deeper")).alias("url"), F.lit("").alias("html"))
+    start = s.createDataFrame([("https://h.example/a/",)], "url string")
+    return web.crawl(root.unionByName(mid).unionByName(leaf).unionByName(below), start, 2).select("url", "level")
+
+
+# --- messages and batches ---
+
+
+@query(_with("application_chat_record") + "select id, 'data: ' || m || chr(10) || chr(10) as event, json_extract_string(m, '$.chat_id') as chat_id, coalesce(message_tokens, 0) + coalesce(answer_tokens, 0) as total_tokens from (select *, '{\"chat_id\":\"' || chat_id || '\",\"chat_record_id\":\"' || id || '\",\"operate\":true,\"content\":\"x\",\"is_end\":true}' as m from rec)")
+def answer_messages(s: SparkSession, d: str) -> DataFrame:
+    """Server-sent events and completions of chat records."""
+    event = sinks.stream_message(F.col("chat_id"), F.col("id"), F.lit("x"), F.lit(True))
+    done = sinks.completion_message(F.col("id"), F.col("answer_text"), F.coalesce("message_tokens", F.lit(0)), F.coalesce("answer_tokens", F.lit(0)))
+    return _recs(s, d).select("id", event.alias("event"), F.get_json_object(F.regexp_replace(event, "^data: ", ""), "$.chat_id").alias("chat_id"), F.get_json_object(done, "$.usage.total_tokens").cast("int").alias("total_tokens"))
+
+
+@query("select doc_id, coalesce(length(text), -1) as first, text is null as empty from documents")
+def embedded_batches(s: SparkSession, d: str) -> DataFrame:
+    """Texts with vectors of a model that takes lists of ten; here one of lengths."""
+    got = sinks.embed_batches(table(s, d, "documents").select("doc_id", "text"), lambda texts: [[float(len(t)), 1.0] for t in texts])
+    return got.select("doc_id", F.coalesce(F.col("embedding")[0].cast("long"), F.lit(-1)).alias("first"), F.col("embedding").isNull().alias("empty"))
+
+
+@query(_with("application_chat_record") + " select distinct unnest(improve_paragraph_id_list) as paragraph_id from rec")
+def shown_paragraphs(s: SparkSession, d: str) -> DataFrame:
+    """Paragraphs that earlier answers to a question showed; here all records ask the same, and show what they improve."""
+    shown = F.to_json(F.struct(F.struct(F.transform("improve_paragraph_id_list", lambda i: F.struct(i.alias("id"))).alias("paragraph_list")).alias("search_step")))
+    return search.shown_before(_recs(s, d).select(F.lit("same").alias("message"), shown.alias("details")), "same")
+
+
+@query("select doc_id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || substring('89ab', (('0x' || substring(h, 17, 1))::int % 4 + 1)::int, 1) || substring(h, 18, 3) || '-' || substring(h, 21, 12) as id from (select doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(text)) as h from documents where text is not null)")
+def name_based_ids(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("text is not null").select("doc_id", text.uuid5("text").alias("id"))
+
+
 # --- dataflows ---
 
 
