@@ -7,11 +7,15 @@ that can't be parsed gives no rows. XLS and PDF need libraries that are absent h
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import os
+import posixpath
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -27,6 +31,10 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
+#: Members of archives that texts show, and that are no documents themselves.
+IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".svg")
+_IMAGE_LINK = re.compile(r"(!\[[^\]\n]*\]\()([^()\s]+)(\))")
+
 Paragraph = tuple[str, str]
 
 
@@ -162,6 +170,21 @@ def archive_members(raw: bytes) -> Iterator[tuple[str, bytes]]:
                 yield name, z.read(info)
 
 
+def file_id(raw: bytes) -> str:
+    """The id under which a content is stored: by its hash, so the same content has one."""
+    return str(uuid.UUID(hashlib.sha256(raw).hexdigest()[:32]))
+
+
+def linked_images(name: str, raw: bytes, images: dict[str, bytes]) -> bytes:
+    """A text of an archive with its links to images of the archive turned into links to stored files; others stay."""
+
+    def stored(m: re.Match) -> str:
+        path = posixpath.normpath(posixpath.join(posixpath.dirname(name), unquote(m[2])))
+        return f"{m[1]}./oss/file/{file_id(images[path])}{m[3]}" if path in images else m[0]
+
+    return _IMAGE_LINK.sub(stored, decode(raw)).encode("utf-8") if images else raw
+
+
 def parse_file(name: str, raw: bytes, patterns: list[str] | None = None, with_filter: bool = False, limit: int = MOST_LIMIT, errors: list[tuple[str, str]] | None = None) -> list[tuple[str, list[Paragraph]]]:
     """(document name, paragraphs) of a file; an archive gives those of its members. Unreadable files give none, and their
     name and error in errors."""
@@ -177,7 +200,10 @@ def parse_file(name: str, raw: bytes, patterns: list[str] | None = None, with_fi
         if low.endswith(".csv"):
             return [(base, [("", b) for b in table_blocks(csv_rows(raw), limit)])]
         if low.endswith(".zip"):
-            return [x for n, r in archive_members(raw) for x in parse_file(n, r, patterns, with_filter, limit, errors)]
+            members = dict(archive_members(raw))
+            images = {n: r for n, r in members.items() if n.lower().endswith(IMAGES)}
+            texts = {n: linked_images(n, r, images) if n.lower().endswith((".md", ".txt")) else r for n, r in members.items() if n not in images}
+            return [x for n, r in texts.items() for x in parse_file(n, r, patterns, with_filter, limit, errors)]
         if low.endswith((".md", ".txt")) or b"\0" not in raw:
             return [(base, split(decode(raw)))]
         problem = "no text, and of no known kind"

@@ -107,6 +107,19 @@ def test_text_files_have_headings_but_coding_lines():
     assert files.parse_file("a.bin", late, errors=errors) == [] and errors[0][0] == "a.bin"
 
 
+def test_images_of_archives_become_stored_files():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("d/a.md", "# H\n![x](img/a%20b.png) ![y](../c.png) ![z](https://h.example/d.png) ![q](gone.png)")
+        z.writestr("d/img/a b.png", b"\x89PNG\0one")
+        z.writestr("c.png", b"\x89PNG\0two")
+    errors = []
+    ((name, ((title, content),)),) = files.parse_file("z.zip", out.getvalue(), errors=errors)
+    one, two = files.file_id(b"\x89PNG\0one"), files.file_id(b"\x89PNG\0two")
+    assert (name, title) == ("a.md", " H") and not errors and one != two
+    assert content.strip() == f"![x](./oss/file/{one}) ![y](./oss/file/{two}) ![z](https://h.example/d.png) ![q](gone.png)"
+
+
 def test_pieces_end_at_periods():
     assert cut_at_periods("", 5) == [] and cut_at_periods("abc", 5) == ["abc"] and cut_at_periods("abcdefg", 3) == ["abc", "def", "g"]
     assert cut_at_periods("a. bcd. efghij", 6) == ["a.", " bcd.", " efghi", "j"]
