@@ -101,8 +101,15 @@ def runs(df: DataFrame, key: str, order: list[str], value: str, text: str, sep:
     return marked.groupBy(key, "run", value).agg(parts.alias("__parts"), F.count("*").alias("n_parts")).select(key, "run", value, F.array_join(F.transform("__parts", lambda p: p["__text"]), sep).alias(text), "n_parts")
 
 
+#: Rows that may become one map.
+MOST_GROUPED = 100_000
+
+
 def grouped_map(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One row: a map from each key to the array of its values, in order; null keys are left out."""
+    """One row: a map from each key to the array of its values, in order; null keys are left out. As it is one value, more than
+    MOST_GROUPED rows are refused."""
+    if df.limit(MOST_GROUPED + 1).count() > MOST_GROUPED:
+        raise ValueError(f"more than {MOST_GROUPED} rows for one map")
     per = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("__v"))
     return per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "__v")))).alias("groups"))
 
