@@ -1,7 +1,7 @@
 """Problem 7: the ids of every text by a public byte-level BPE tokenizer.
 
 Method: each partition cuts its texts into words, and DuckDB contracts the words' byte rows by a recursive query: rows
-(word, position, token) are joined with the merge table on the pair of neighbours, each round merges every word's
+(word and position, token) are joined with the merge table on the pair of neighbours, each round merges every word's
 leftmost pair of least rank, until no pair of a word is in the table. An ordered aggregation turns the last rows of a
 word into its ids, and the words' ids, in order of place, make the text's ids. decode() is the way back, an ordered
 aggregation of the tokens' bytes.
@@ -39,23 +39,25 @@ CACHE_WORDS = 300_000
 #: Bytes by which pieces of long words follow each other, and by which each reaches into the next.
 PIECE, OVERLAP = 48, 24
 
-_CONTRACT = f"""
-with recursive step(n, w, pos, id) as (
-    select 0, w, pos, id from word_rows
+#: Rows are (round, key, token), where the key is a word's number and a position in it, so that one sorted column orders them.
+_CONTRACT = """
+with recursive step(n, k, id) as (
+    select 0, k, id from word_rows
     union all
     (with pairs as (
-        select n, w, pos, id, lead(id) over g as next_id, lag(pos) over g as before
-        from step window g as (partition by w order by pos)
+        select n, k, id, lead(k) over g as next_k, lead(id) over g as next_id, lag(k) over g as before
+        from step window g as (order by k)
     ), least as (
-        select w, min(((rank_id >> 20) << 40) | (pos::bigint << 20) | (rank_id & 1048575)) as pick
+        select k >> 32 as w, min(((rank_id >> 20) << 46) | ((k & 67108863) << 20) | (rank_id & 1048575)) as pick
         from pairs join merges on merges.pair = ((pairs.id::bigint << 20) | pairs.next_id)
-        group by w
+        where next_k >> 32 = k >> 32
+        group by 1
     )
-    select n + 1, p.w, p.pos, case when p.pos = ((pick >> 20) & 1048575) then (pick & 1048575)::int else p.id end
-    from pairs p join least using (w)
-    where p.before is null or p.before <> ((pick >> 20) & 1048575))
-), done as (select w, max(n) as n from step group by w)
-select w, list(id order by pos) as ids from step join done using (w, n) group by w order by w
+    select n + 1, p.k, case when (p.k & 67108863) = ((pick >> 20) & 67108863) then (pick & 1048575)::int else p.id end
+    from pairs p join least on least.w = p.k >> 32
+    where p.before is null or p.before <> (((p.k >> 32) << 32) | ((pick >> 20) & 67108863)))
+), done as (select k >> 32 as w, max(n) as n from step group by 1)
+select step.k >> 32 as w, list(id order by k) as ids from step join done on done.w = step.k >> 32 and done.n = step.n group by 1 order by 1
 """
 
 
@@ -121,10 +123,10 @@ class Encoder:
                 size += len(raw[end])
                 end += 1
             lens = np.fromiter((len(x) for x in raw[at:end]), dtype=np.int64, count=end - at)
-            word = np.repeat(np.arange(end - at, dtype=np.int32), lens)
+            word = np.repeat(np.arange(end - at, dtype=np.int64), lens)
             pos = np.arange(size, dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
             ids = self.byte_id[np.frombuffer(b"".join(raw[at:end]), dtype=np.uint8)]
-            self.db.register("word_rows", pa.table({"w": word, "pos": pos.astype(np.int32), "id": ids}))
+            self.db.register("word_rows", pa.table({"k": (word << 32) | pos, "id": ids}))
             got = self.db.execute(_CONTRACT).fetchnumpy()
             for w, x in zip(got["w"].tolist(), got["ids"], strict=True):
                 out[at + w] = tuple(x.tolist())
