@@ -76,6 +76,23 @@ def test_quotation_marks_are_no_letters():
         assert r.restore(text) == (text, [], False)
 
 
+@pytest.mark.parametrize(
+    ("common", "word", "rare"),
+    [("Sí, la guía decía que había un índice todavía. La batería seguía fría y Sí lo sabía María.", "S’abonner", "S’abonner à la lettre."), ("Après le trèfle, la règle très près de la siège ège ègre ènt ntre entrège.", "Einträge", "Neue Einträge und Absätze.")],
+)
+def test_words_of_a_rare_language_are_no_garbled_words(common, word, rare):
+    r = garble.Restorer(*garble.fit([common] * 2000 + [rare] * 20))
+    assert r.model.words[word] == 20
+    assert r.restore(rare) == (rare, [], False)
+
+
+def test_a_word_that_is_only_seen_garbled_is_restored():
+    text, ways = "Anleitung Prüfgerät", [("utf-8", "cp1252"), ("utf-8", "cp437"), ("cp1252", "cp437"), ("cp1252", "mac_roman")]
+    bad = [garble.garbled(text, *way) for way in ways]
+    r = garble.Restorer(*garble.fit(["Die Geräte für über müssen früh wählen, fünf Käufer. Läuft prüfen."] * 300 + bad * 8))
+    assert [r.restore(b)[0] for b in bad] == [text] * 4
+
+
 @pytest.mark.parametrize("lang", OTHER)
 @pytest.mark.parametrize("wrong", ["latin-1", "cp1252"])
 def test_any_script_of_the_corpus_is_restored(of_many_scripts, lang, wrong):
